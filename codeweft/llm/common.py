@@ -12,6 +12,7 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -75,3 +76,9 @@ def bounded_ids(ids: DataFrame, limit: int) -> DataFrame:
         share = min(1.0, 1.2 * limit / rows + 1e-3)
         ids = ids.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)))
     return ids.orderBy(F.pmod(order, F.lit(1 << 20)), order, key, *ids.columns[1:]).limit(limit)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop shuffle files of finished, unreferenced plans at once, not at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
