@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweft.llm import decontaminate, pii, rules, simhash, substrings, toxicity
+from codeweft.llm import decontaminate, pii, rules, secrets, simhash, substrings, toxicity
 from codeweft.llm.common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment): benchmark items that documents contain."""
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -36,6 +40,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
