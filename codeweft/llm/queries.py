@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweft.llm import decontaminate, packing, pii, rules, secrets, simhash, substrings, toxicity
+from codeweft.llm import decontaminate, packing, pii, rules, secrets, simhash, substrings, toxicity, warc
 from codeweft.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
 
