@@ -27,8 +27,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 CHUNK = 1 << 14
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint, as a signed 64-bit integer, of a text in UTF-8; 0 if it has no word."""
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, once: bool = False) -> int:
+    """The fingerprint, as a signed 64-bit integer, of a text in UTF-8; 0 if it has no word. once: repeats of a shingle don't count."""
     words = (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
         return 0
@@ -39,18 +39,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         ends = list(accumulate(len(w) + 1 for w in words))
         spans = list(zip([0, *ends], [e - 1 for e in ends[shingle - 1 :]], strict=False))
     digest, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for k in range(0, len(spans), CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in spans[k : k + CHUNK]], "<u8")
+    shingles = [joined[a:b] for a, b in spans] if not once else list({joined[a:b] for a, b in spans})
+    for k in range(0, len(shingles), CHUNK):
+        h = np.array([digest(x, SEED) for x in shingles[k : k + CHUNK]], "<u8")
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(spans), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * total > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, once: bool = False) -> DataFrame:
     """(doc, fp): one row per row of docs. A null text counts as empty; its fingerprint is 0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(x.as_py(), shingle) for x in b.column(1)]
+            fps = [fingerprint(x.as_py(), shingle, once) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=[doc, "fp"])
 
     rows = docs.select(F.col(doc).cast("long").alias(doc), F.col(text).cast("binary").alias("t"))
@@ -76,19 +77,26 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for d in range(radius + 1) for bits in combinations(range(width), d)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints fps(fp) that differ in at most radius bits."""
+def links(fps: DataFrame, radius: int = RADIUS, joined: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: all pairs of the distinct fingerprints fps(fp) that differ in at most radius bits.
+
+    joined (node, root) leaves out pairs that it already has in one component.
+    """
+    if joined is not None:
+        fps = fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    else:
+        fps = fps.select("fp", F.col("fp").alias("root"))
     parts = segments(fps.count(), radius)
     files, looks = None, None
     for i, (low, width) in enumerate(parts):
         value = F.shiftright("fp", low).bitwiseAND((1 << width) - 1)
         masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius // len(parts))])
-        filed = fps.select(F.lit(i).alias("part"), value.alias("key"), F.col("fp").alias("b"))
-        looked = fps.select(F.lit(i).alias("part"), F.col("fp").alias("a"), value.alias("v"), F.explode(masks).alias("mask"))
-        looked = looked.select("part", F.col("v").bitwiseXOR(F.col("mask")).alias("key"), "a")
+        filed = fps.select(F.lit(i).alias("part"), value.alias("key"), F.col("fp").alias("b"), F.col("root").alias("b_root"))
+        looked = fps.select(F.lit(i).alias("part"), F.col("fp").alias("a"), F.col("root").alias("a_root"), value.alias("v"), F.explode(masks).alias("mask"))
+        looked = looked.select("part", F.col("v").bitwiseXOR(F.col("mask")).alias("key"), "a", "a_root")
         files = filed if files is None else files.unionByName(filed)
         looks = looked if looks is None else looks.unionByName(looked)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    near = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     return looks.alias("l").join(files.alias("f"), (F.col("l.part") == F.col("f.part")) & (F.col("l.key") == F.col("f.key")) & near).select("a", "b").distinct()
 
 
@@ -114,15 +122,24 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, once: bool = False, first_radius: int | None = None) -> DataFrame:
     """(doc, fp, component_id): one row per row of docs; the smallest doc id that links reach, itself included.
 
+    With first_radius, links of that smaller radius are joined into components
+    first, and only pairs between two of these are then looked at: the same
+    components, without all pairs of a large group of near copies.
+
     Null and blank texts have fingerprint 0 and are linked like any other. A null
     id counts for no component's smallest; a component of such rows has a null id.
     """
-    marked = staged(fingerprints(docs, doc, text), "fingerprints")
+    marked = staged(fingerprints(docs, doc, text, shingle, once), "fingerprints")
     first = staged(marked.groupBy("fp").agg(F.min(doc).alias("least")), "distinct")
-    roots = components(links(first.select("fp"), radius))
+    fps = first.select("fp")
+    if first_radius is None:
+        roots = components(links(fps, radius))
+    else:
+        near = staged(links(fps, first_radius), "links")
+        roots = components(near.unionByName(links(fps, radius, components(near))))
     rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
