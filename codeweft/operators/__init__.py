@@ -1 +1 @@
-
+"""Operators over the node and edge tables of a code graph."""

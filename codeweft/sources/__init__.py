@@ -1 +1 @@
-
+"""Sources: source trees, change feeds."""
