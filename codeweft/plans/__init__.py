@@ -1 +1 @@
-
+"""Plans: Cypher to DataFrames, and reports."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeweft import functions as fn
 from codeweft import testgraph as tg
 from codeweft.operators import algorithms, graph, resolve, traverse
+from codeweft.plans import cypher
 from codeweft.sources import changes, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,3 +311,34 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return algorithms.louvain(tg.nation_graph(spark, sf_dir).staged())
+
+
+# ---------------------------------------------------------------- Cypher
+
+
+def _cypher(name: str, text: str, sql: str | None, /, **params: object) -> None:
+    def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return cypher.run(tg.star_graph(spark, sf_dir).staged(), text, params)
+
+    one.__name__ = f"cypher_{name}"
+    one.__doc__ = text
+    query(sql)(one)
+
+
+_cypher("match_filter", "MATCH (n) WHERE n.kind = 'Function' RETURN n.name AS name, n.file_rel_path", STAR + """ SELECT name, file AS "n.file_rel_path" FROM nodes WHERE kind = 'Function'""")
+_cypher("match_distinct", "MATCH (n:Function) WHERE n.kind <> 'File' OR n.name = 'x' RETURN DISTINCT n.file_rel_path AS file", STAR + " SELECT DISTINCT file FROM nodes WHERE kind = 'Function'")
+_cypher("edge_match", "MATCH (a)-[:CALLS]->(b:Interface) RETURN a.name AS caller, b.name AS callee", STAR + " SELECT a.name AS caller, b.name AS callee FROM calls JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE b.kind = 'Interface'")
+_cypher("two_match_join", "MATCH (f {file_rel_path: $path})-[:CONTAINS]->(s) MATCH (c)-[:CALLS]->(s) RETURN DISTINCT c.qualified_name AS caller, s.name AS called", STAR + f" SELECT DISTINCT source AS caller, s.name AS called FROM s JOIN calls ON target = q WHERE file = '{SEED}'", path=SEED)
+_cypher("count", "MATCH (n) WHERE n.kind = 'Class' OR n.kind = 'Interface' RETURN count(n) AS c", STAR + " SELECT count(*) AS c FROM nodes WHERE kind IN ('Class', 'Interface')")
+_cypher("group_count", "MATCH (a)-[r:CALLS]->(b) RETURN b.kind AS kind, type(r) AS relation, count(*) AS n, count(DISTINCT a) AS callers, min(b.name) AS first", STAR + " SELECT b.kind, 'CALLS' AS relation, count(*) AS n, count(DISTINCT source) AS callers, min(b.name) AS first FROM calls JOIN nodes b ON b.id = target GROUP BY b.kind")
+_cypher("walk", "MATCH (c:Class {name: 'C7'})-[:CALLS*1..3]->(x) RETURN DISTINCT x.qualified_name AS id, x.kind AS kind", RECURSIVE + """, walk AS (SELECT q AS id, 0 AS d FROM s WHERE name = 'C7' UNION SELECT target, d + 1 FROM walk JOIN calls ON source = walk.id WHERE d < 3)
+ SELECT DISTINCT n.id, n.kind FROM walk JOIN nodes n ON n.id = walk.id WHERE d > 0""")
+_cypher("walk_back", "MATCH (x)<-[:CALLS*2..2]-(c:Class) WHERE x.name = $name RETURN DISTINCT c.name AS name", STAR + " SELECT DISTINCT c.name FROM calls k JOIN calls l ON l.target = k.source JOIN nodes c ON c.id = l.source JOIN nodes x ON x.id = k.target WHERE x.name = 'red plate' AND c.kind = 'Class'", name="red plate")
+_cypher("dead_code", "MATCH (n:Function) WHERE n.file_rel_path STARTS WITH 'sales/' AND NOT (n)-[:CALLS]->(:Function) RETURN n.name AS name", STAR + " SELECT name FROM nodes WHERE kind = 'Function' AND starts_with(file, 'sales/') AND id NOT IN (SELECT source FROM calls)")
+_cypher("optional", "MATCH (p:Function {name: 'hot ring'}) OPTIONAL MATCH (o:Function)-[:CALLS]->(p) WHERE o.file_rel_path STARTS WITH 'sales/199801' RETURN p.qualified_name AS id, count(o) AS n", STAR + " SELECT p.q AS id, count(o.q) AS n FROM s p LEFT JOIN (calls JOIN s o ON o.q = source AND starts_with(o.file, 'sales/199801')) ON target = p.q WHERE p.name = 'hot ring' GROUP BY p.q")
+_cypher("with_having", "MATCH (a)-[:CALLS]->(b) WITH b, count(a) AS n WHERE n >= 80 RETURN b.name AS name, n ORDER BY n DESC, name LIMIT 1000000", STAR + " SELECT any_value(b.name) AS name, count(*) AS n FROM calls JOIN nodes b ON b.id = target GROUP BY b.id HAVING count(*) >= 80")
+_cypher("union", "MATCH (n:Class) RETURN n.file_rel_path AS file UNION MATCH (n:Interface) RETURN n.file_rel_path AS file", STAR + " SELECT file FROM nodes WHERE kind = 'Class' UNION SELECT file FROM nodes WHERE kind = 'Interface'")
+_cypher("unwind_in", "UNWIND $names AS wanted MATCH (n) WHERE n.name = wanted AND NOT n.file_rel_path IN ['cat/Brand#1.ts'] RETURN wanted, count(*) AS n", STAR + " SELECT name AS wanted, count(*) AS n FROM nodes WHERE name IN ('red plate', 'C5', 'nothing') AND file <> 'cat/Brand#1.ts' GROUP BY name", names=["red plate", "C5", "nothing"])
+_cypher("case", "MATCH (n) WHERE n.name IS NOT NULL AND n.external = false RETURN CASE n.kind WHEN 'Class' THEN 'type' WHEN 'Interface' THEN 'type' ELSE toLower(n.kind) END AS sort, count(*) AS n", STAR + " SELECT CASE WHEN kind IN ('Class', 'Interface') THEN 'type' ELSE lower(kind) END AS sort, count(*) AS n FROM nodes GROUP BY 1")
+_cypher("subclasses", "MATCH (child)-[:INHERITS]->(base) WHERE base.name = 'MACHINERY' RETURN child.name AS name, base.kind AS kind", "SELECT 'C' || c_custkey AS name, 'External' AS kind FROM customer WHERE c_mktsegment = 'MACHINERY'")
+_cypher("exists_where", "MATCH (c:Class) WHERE EXISTS { (c)-[:CALLS]->(o) WHERE o.file_rel_path = 'sales/199801.go' } RETURN c.name AS name", STAR + " SELECT name FROM nodes WHERE kind = 'Class' AND id IN (SELECT source FROM calls JOIN nodes t ON t.id = target WHERE t.file = 'sales/199801.go')")
