@@ -36,15 +36,16 @@ BINS, MOST_PIECES = 32, 4
 FILLER = CAPACITY // 8
 #: Pieces of a shard, about.
 SHARD = 20_000
-#: Words whose ids a worker keeps, and words encoded at once.
-CACHE, BATCH = 200_000, 4_000
+#: Words whose ids a worker keeps: so many of the last, and as many from before that.
+CACHE = 120_000
 
-#: A text of these characters alone is normalised by lower-casing and cut by WORD
-#: just as the tokenizer does; any other text goes through the tokenizer whole.
-PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-\xff]*")
-SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>", re.IGNORECASE)
-LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\x20\t-\r\xa0{LETTERS}{NUMBERS}]+")
+#: A text of Latin-1 characters without control characters is normalised by
+#: lower-casing and cut by WORD just as the tokenizer does; any other text, and
+#: one that spells a special token, goes through the tokenizer whole.
+ODD = bytes([*range(9), *range(14, 32), *range(127, 160)])
+LOWER = bytes(ord(chr(c).lower()) if ord(chr(c).lower()) < 256 else c for c in range(256))
+LETTERS, NUMBERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe"
+WORD = re.compile(rb"[%b]+|'(?:[stmd]|re|ve|ll)|[%b]|[^\x20\t-\r\xa0%b%b]+" % (LETTERS, NUMBERS, LETTERS, NUMBERS))
 
 
 class Encoder:
@@ -54,29 +55,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        # the last token of every word, and no other, ends with the mark of word ends
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def whole(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._ids(text).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes words that are not remembered, all in one text, which is cut at the ends of words."""
+        ids = self._ids(b" ".join(words).decode("latin-1"))
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) == len(words):
+            data, at = ids.tobytes(), 0
+            for w, stop in zip(words, stops, strict=True):
+                self.young[w] = data[at : 4 * stop]
+                at = 4 * stop
+        else:  # a vocabulary without such marks
+            for w in words:
+                self.young[w] = self.whole(w.decode("latin-1"))
 
     def encode(self, text: str) -> bytes:
-        """As the tokenizer's; words are encoded one by one and remembered, as no merge crosses a word."""
-        if not PLAIN.fullmatch(text) or SPECIAL.search(text):
+        """As the tokenizer's; words are encoded apart from their text and remembered, as no merge crosses a word."""
+        try:
+            plain = text.encode("latin-1")
+        except UnicodeEncodeError:
             return self.whole(text)
-        words = WORD.findall(text.lower())
-        cache = self.cache
-        fresh = [w for w in {*words} if w not in cache]
-        if len(cache) + len(fresh) > CACHE:
-            cache.clear()
-            fresh = [*{*words}]
-        for k in range(0, len(fresh), BATCH):
-            some = fresh[k : k + BATCH]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                cache[w] = self._bytes(e.ids)
-        return b"".join(map(cache.__getitem__, words))
+        if b"<|" in plain or len(plain.translate(None, ODD)) < len(plain):
+            return self.whole(text)
+        words = WORD.findall(plain.translate(LOWER))
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = [w for w in {*words} if w not in young]
+        young.update({w: old[w] for w in new if w in old})
+        fresh = [w for w in new if w not in young]
+        if fresh:
+            self._learn(fresh)
+        return b"".join(map(young.__getitem__, words))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
