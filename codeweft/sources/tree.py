@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,21 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, rel_path, length, content) of all files under root, by Spark's binaryFile source.
 
     rel_path is relative to root. A filter on length reaches the source, and content is
-    only read where it is selected.
+    only read where it is selected. That source leaves out empty files; they are added
+    from the listing that the driver made for it.
     """
     base = (root if "://" in root or root.startswith("file:") else f"file:{root}").rstrip("/")
     bare = base.split(":", 1)[1].lstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     plain = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "")
-    return files.select("path", F.substring(plain, len(bare) + 2, 1_000_000).alias("rel_path"), "length", "content")
+    full = files.select("path", F.substring(plain, len(bare) + 2, 1_000_000).alias("rel_path"), "length", "content")
+    listed = [unquote(p).split(":", 1)[-1].lstrip("/") for p in files.inputFiles()]
+    known = [(f"{base}/{p[len(bare) + 1 :]}", p[len(bare) + 1 :]) for p in listed if p.startswith(f"{bare}/") and p[p.rfind(".") :].lower() in schema.LANGUAGES]
+    if not known:
+        return full
+    named = spark.createDataFrame(known, "path string, rel_path string")
+    empty = named.join(full.select("rel_path"), "rel_path", "left_anti").select("path", "rel_path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return full.unionByName(empty)
 
 
 def is_cpp(content: Column) -> Column:
