@@ -13,12 +13,15 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.staging import shared_folder, staged
+
+__all__ = ["NOT_SPACE", "SPACE", "bounded_ids", "fresh_path", "lower_ascii", "release", "shared_folder", "staged", "table", "words_of"]
+
 #: Fixed value: a word is a run of characters other than these, as a Java and Python class.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -28,32 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none, as in tests, a temporary folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_before = spark.sparkContext.getCheckpointDir()
-        folder = set_before or f"file://{tempfile.mkdtemp(prefix='codeweft-')}"
-        if not set_before:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path inside the folder that driver and executors share."""
     return f"{shared_folder(spark)}/codeweft-{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: Column) -> Column:
     """array<string> of the words of a text; empty for null or blank."""
     parts = F.split(text, SPACE + "+", -1)
