@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from codeweft.llm.common import bounded_ids
+from codeweft.llm.common import bounded_ids, staged
 
 #: The base patterns in their order; assign's second group has 6 characters at least.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Formats:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
     sample = docs.join(F.broadcast(chosen), docs[doc] == chosen["_id"], "left_semi").select(text)
-    counted = sample.mapInArrow(label, "kind string, value string").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = staged(sample.mapInArrow(label, "kind string, value string").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")), "labelled")
     order = F.xxhash64("value")
     words = counted.where("kind = 'word'").orderBy(F.desc("n"), order).limit(SAMPLE_WORDS).collect()
     labelled = {k: counted.where(F.col("kind") == k).orderBy(order, "value").limit(SAMPLE_VALUES).collect() for k in KINDS[:3]}
