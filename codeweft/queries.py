@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from codeweft import functions as fn
 from codeweft import testgraph as tg
 from codeweft.operators import algorithms, graph, resolve, traverse
-from codeweft.plans import cypher
-from codeweft.sources import changes, tree
+from codeweft.plans import context, cypher
+from codeweft.sources import changes, parse, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +112,12 @@ def full_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.full_impact(tg.star_graph(spark, sf_dir).staged(), SEEDS, 2).select(*COLS, "direction", "pagerank_score")
 
 
+@query(_full_sql().replace("SELECT id AS qualified_name", ", r AS (SELECT id AS qualified_name", 1) + ") SELECT direction, qualified_name, '- [Hop ' || distance || '] `' || file_rel_path || '` → `' || qualified_name || '` (' || kind || ')' || chr(10) || '  Lines 1–9' AS line FROM r")
+def markdown_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    impact = traverse.full_impact(tg.star_graph(spark, sf_dir).staged(), SEEDS, 2)
+    return context.lines(impact).select("direction", "qualified_name", "line")
+
+
 @query(RECURSIVE + """, walk AS (
   SELECT q AS id, 0 AS distance FROM s WHERE file = 'supply/n3.rs'
   UNION SELECT source, distance + 1 FROM walk JOIN calls ON target = walk.id WHERE distance < 5
@@ -182,6 +188,14 @@ def file_hash_linecount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", "file_hash", fn.line_count(F.col("content").cast("string")).cast("long").alias("lines"))
 
 
+@query(FILES + " SELECT 'File' AS kind, string_split(path, '/')[-1] AS name, path AS qualified_name, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS line_end, language, md5(text) AS file_hash FROM k")
+def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, parsed; being prose, they hold no other symbols."""
+    files = tree.selected(tg.document_files(spark, sf_dir).withColumn("rel_path", F.col("path")))
+    nodes = parse.exploded(parse.parse_files(files))[0]
+    return nodes.select("kind", "name", "qualified_name", "line_end", "language", "file_hash")
+
+
 def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = tree.selected(tg.document_files(spark, sf_dir), rel="path")
     number = F.regexp_extract("path", "d([0-9]+)", 1).cast("long")

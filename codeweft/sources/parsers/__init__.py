@@ -19,7 +19,7 @@ def parse(text: str, rel_path: str, language: str) -> Parsed:
     out.symbols.append(("File", rel_path.rsplit("/", 1)[-1], rel_path, 1, text.count("\n") + 1))
     try:
         (python.parse if language == "python" else braces.parse)(text, out)
-    except RecursionError:
+    except (RecursionError, MemoryError):  # the ast module raises the latter, too, when its stack is full
         out.error = "nested too deeply"  # what was found before stays
     return out
 

@@ -55,3 +55,4 @@ def test_nothing_raises(text, language):
 def test_deep_nesting():
     for language in LANGUAGES:
         assert parse("{(" * 5000, "x", language).symbols
+        assert parse("x" + "(a, " * 400 + "y" + ")" * 400 + " = 1", "x", language).symbols
