@@ -21,9 +21,10 @@ COMMON = {
     "fr": "de la le les et des en un une du que qui dans est pour par sur pas au avec il",
     "es": "de la que el en y a los se del las un por con no una su para es al lo",
 }
-#: Character classes, as the inside of a Java character class.
+#: Character classes, as the inside of a Java character class. The rest of the
+#: visible characters, mostly small letters, are the last class of the histogram.
 CLASSES = {
-    "lower": r"a-z", "upper": r"A-Z", "digit": r"0-9", "stop": r".,;:'", "loud": r"!?",
+    "upper": r"A-Z", "digit": r"0-9", "stop": r".,;:'", "loud": r"!?",
     "symbol": r"#*$%&|<>@^~=+{}\[\]\\_/", "beyond": r"\x{80}-\x{10FFFF}",
 }
 #: Window of the repeated-words count, and its limits.
@@ -37,7 +38,7 @@ LEAST_CHARS, LEAST_FOR_WORDS = 100, 60
 
 
 def repeated_words(words: Column) -> Column:
-    """Words that stand in a window of WINDOW words found twice or more in the text.
+    """array<long>: the hash of each window of WINDOW words, from the words' own hashes.
 
     words must be a column of its own, not an expression: it is used for each window.
     """
@@ -87,25 +88,30 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     every = sorted({w for v in COMMON.values() for w in v.split()})
     docs = docs.withColumns({"_words": words_of(body), "_lines": F.filter(F.split(body, "\n", -1), lambda x: F.regexp_like(x, F.lit(NOT_SPACE)))})
     words = F.col("_words")
-    bare = F.transform(words, lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))))
+    bare = F.split(F.lower(body), r"[\x20\x09-\x0D.,;:!?]+", -1)
     docs = docs.withColumns({
         "n_words": F.size(words).cast("long"),
         "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_windows": repeated_words(words),
+        "_hashes": F.transform(words, lambda w: F.xxhash64(w)),
         "_known": known,
         "_seen": F.filter(bare, lambda w: w.isin(every)),
         "classes": F.array(*[F.regexp_count(body, F.lit(f"[{c}]")).cast("long") for c in CLASSES.values()]),
         "reference": F.when(tongue.isin(list(COMMON)), tongue),
     })
+    rest = F.greatest(F.col("word_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
+    docs = docs.withColumns({"classes": F.array_append("classes", rest), "_windows": repeated_words(F.col("_hashes"))})
     many = F.size("_windows") > F.size(F.array_distinct("_windows"))
     common = F.transform("_known", lambda k: F.size(F.filter(F.col("_seen"), lambda w: w == k)).cast("long"))
     docs = docs.withColumns({"_starts": F.when(many, covered(F.col("_windows"))), "common": common})
     docs = docs.withColumn("n_repeat_words", F.coalesce(union_length(F.col("_starts")), F.lit(0)).cast("long"))
     rest = F.greatest(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
     docs = docs.withColumn("common", F.array_append("common", rest))
-    return docs.drop("_words", "_lines", "_windows", "_known", "_seen", "_starts")
+    return docs.drop("_words", "_lines", "_windows", "_known", "_seen", "_starts", "_hashes")
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common", "reference"]
 
 
 def references(counted: DataFrame) -> DataFrame:
@@ -114,7 +120,7 @@ def references(counted: DataFrame) -> DataFrame:
         return F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(n)])
 
     longest = max(len(v.split()) for v in COMMON.values()) + 1
-    known = counted.where(F.col("reference").isNotNull()).groupBy("reference").agg(sums("classes", len(CLASSES)).alias("r_classes"), sums("common", longest).alias("r_common"))
+    known = counted.where(F.col("reference").isNotNull()).groupBy("reference").agg(sums("classes", len(CLASSES) + 1).alias("r_classes"), sums("common", longest).alias("r_common"))
     return known.withColumn("r_common", F.filter("r_common", lambda x: x.isNotNull()))
 
 
@@ -131,14 +137,14 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.when((total(a) > 0) & (total(b) > 0), F.sqrt(F.greatest(whole, F.lit(0.0))))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with the base counts, base_failed, js_classes, js_common and kept.
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep of docs with the base counts, base_failed, js_classes, js_common and kept.
 
     Documents of a language without reference, and those under the minimum
     lengths, are judged by the base counts alone; both distances are then null.
     References are broadcast: they have len(COMMON) rows at most.
     """
-    counted = staged(counts(docs, text, lang), "rules")
+    counted = staged(counts(docs, text, lang).select(*keep, *COUNTS), "rules")
     judged = counted.join(F.broadcast(references(counted)), "reference", "left")
     judged = judged.withColumns({
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
