@@ -2,7 +2,7 @@
 
 Everything is a column expression. A first pass gives each document its counts
 (word and character classes, common words); it is written down, the references
-are the sums of these histograms over all documents of a language, and a second
+are the means of these histograms over all sound documents of a language, and a second
 pass over the small table compares each document with its reference by
 Jensen-Shannon distance.
 """
@@ -32,7 +32,7 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: The greatest Jensen-Shannon distance (square root of the divergence to base 2,
 #: 0 to 1) that is kept: a + b / sqrt(draws), as the distance of a sample from its
 #: source falls with the root of its size. Draws are characters or words.
-MOST_CLASSES, MOST_WORDS = (0.16, 2.0), (0.06, 2.2)
+MOST_CLASSES, MOST_WORDS = (0.12, 2.0), (0.06, 2.2)
 #: Shorter documents are not compared: too few draws for a histogram.
 LEAST_CHARS, LEAST_FOR_WORDS = 100, 60
 
@@ -114,13 +114,23 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common", "reference"]
 
 
+def failed() -> Column:
+    """The base verdict, from the counts."""
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
 def references(counted: DataFrame) -> DataFrame:
-    """(reference, r_classes, r_common): sums over all documents of a language; one row for each key of COMMON at most."""
-    def sums(name: str, n: int) -> Column:
-        return F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(n)])
+    """(reference, r_classes, r_common): mean histograms of a language; one row for each key of COMMON at most.
+
+    All documents that the base counts pass weigh the same, so a few very long ones don't set the reference.
+    """
+    def means(name: str, n: int) -> list[Column]:
+        total = F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x)
+        return [F.avg(F.get(name, F.lit(i)) / F.when(total > 0, total)) for i in range(n)]
 
     longest = max(len(v.split()) for v in COMMON.values()) + 1
-    known = counted.where(F.col("reference").isNotNull()).groupBy("reference").agg(sums("classes", len(CLASSES) + 1).alias("r_classes"), sums("common", longest).alias("r_common"))
+    sound = counted.where(F.col("reference").isNotNull() & ~failed())
+    known = sound.groupBy("reference").agg(F.array(*means("classes", len(CLASSES) + 1)).alias("r_classes"), F.array(*means("common", longest)).alias("r_common"))
     return known.withColumn("r_common", F.filter("r_common", lambda x: x.isNotNull()))
 
 
@@ -147,7 +157,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[s
     counted = staged(counts(docs, text, lang).select(*keep, *COUNTS), "rules")
     judged = counted.join(F.broadcast(references(counted)), "reference", "left")
     judged = judged.withColumns({
-        "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
+        "base_failed": failed(),
         "js_classes": F.when(F.col("word_chars") >= LEAST_CHARS, F.round(js_distance(F.col("classes"), F.col("r_classes")), 6)),
         "js_common": F.when(F.col("n_words") >= LEAST_FOR_WORDS, F.round(js_distance(F.col("common"), F.col("r_common")), 6)),
     })
