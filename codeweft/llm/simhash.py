@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from codeweft.llm.common import staged
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
+#: Radii at which links are joined before those of the greatest radius are looked for; none where groups of near copies are small.
+STEPS: tuple[int, ...] = ()
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -80,24 +82,39 @@ def ball(width: int, radius: int) -> list[int]:
 def links(fps: DataFrame, radius: int = RADIUS, joined: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct fingerprints fps(fp) that differ in at most radius bits.
 
-    joined (node, root) leaves out pairs that it already has in one component.
+    With joined(fp, root) for all of them, the pairs of different roots that such
+    fingerprints link: what already hangs together stands as one.
     """
-    if joined is not None:
-        fps = fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    else:
-        fps = fps.select("fp", F.col("fp").alias("root"))
+    rooted = joined if joined is not None else fps.select("fp", F.col("fp").alias("root"))
     parts = segments(fps.count(), radius)
     files, looks = None, None
     for i, (low, width) in enumerate(parts):
         value = F.shiftright("fp", low).bitwiseAND((1 << width) - 1)
         masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius // len(parts))])
-        filed = fps.select(F.lit(i).alias("part"), value.alias("key"), F.col("fp").alias("b"), F.col("root").alias("b_root"))
-        looked = fps.select(F.lit(i).alias("part"), F.col("fp").alias("a"), F.col("root").alias("a_root"), value.alias("v"), F.explode(masks).alias("mask"))
+        filed = rooted.select(F.lit(i).alias("part"), value.alias("key"), F.col("fp").alias("b"), F.col("root").alias("b_root"))
+        looked = rooted.select(F.lit(i).alias("part"), F.col("fp").alias("a"), F.col("root").alias("a_root"), value.alias("v"), F.explode(masks).alias("mask"))
         looked = looked.select("part", F.col("v").bitwiseXOR(F.col("mask")).alias("key"), "a", "a_root")
         files = filed if files is None else files.unionByName(filed)
         looks = looked if looks is None else looks.unionByName(looked)
     near = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return looks.alias("l").join(files.alias("f"), (F.col("l.part") == F.col("f.part")) & (F.col("l.key") == F.col("f.key")) & near).select("a", "b").distinct()
+    found = looks.alias("l").join(files.alias("f"), (F.col("l.part") == F.col("f.part")) & (F.col("l.key") == F.col("f.key")) & near)
+    return found.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct()
+
+
+def linked(fps: DataFrame, radii: list[int]) -> DataFrame:
+    """(fp, root): the components of fps(fp) under links of the last, greatest, of radii.
+
+    Links of the smaller radii are joined first. They are links of the greatest too,
+    so the components are the same, but a large group of near copies has become a few
+    roots by the time its many pairs would be found.
+    """
+    rooted = None
+    for radius in radii:
+        roots = components(links(fps, radius, rooted))
+        before = rooted if rooted is not None else fps.select("fp", F.col("fp").alias("root"))
+        now = before.join(roots, before["root"] == roots["node"], "left").select("fp", F.coalesce(roots["root"], before["root"]).alias("root"))
+        rooted = staged(now, "roots")
+    return rooted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -122,26 +139,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, once: bool = False, first_radius: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, once: bool = False, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """(doc, fp, component_id): one row per row of docs; the smallest doc id that links reach, itself included.
 
-    With first_radius, links of that smaller radius are joined into components
-    first, and only pairs between two of these are then looked at: the same
-    components, without all pairs of a large group of near copies.
+    steps are smaller radii whose links are joined first, as linked() says.
 
     Null and blank texts have fingerprint 0 and are linked like any other. A null
     id counts for no component's smallest; a component of such rows has a null id.
     """
     marked = staged(fingerprints(docs, doc, text, shingle, once), "fingerprints")
     first = staged(marked.groupBy("fp").agg(F.min(doc).alias("least")), "distinct")
-    fps = first.select("fp")
-    if first_radius is None:
-        roots = components(links(fps, radius))
-    else:
-        near = staged(links(fps, first_radius), "links")
-        roots = components(near.unionByName(links(fps, radius, components(near))))
-    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = staged(rooted, "rooted")
+    roots = linked(first.select("fp"), [*(r for r in steps if r < radius), radius])
+    rooted = staged(first.join(roots, "fp"), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(doc, "fp", "component_id")
