@@ -4,17 +4,21 @@ Texts are lower-cased and homoglyphs and digits inside words are folded to the
 letters they stand for. The lexicon is the fixed list below and the stems that
 set toxic training documents apart, each with its log-odds as weight; stems are
 matched at the beginning of words, exceptions silence the matches inside them.
-The weights of a text's matches, normalised by its length, give the score
-through a logistic curve fitted to the same training rows.
+The weights of a text's matches are held against those that clean text of the
+same length has by chance, over the whole text and over its densest passage;
+how far they exceed them gives the score through a logistic curve fitted to the
+same training rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -41,6 +45,10 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@
 SAMPLE, LONGEST, SHORTEST = 8_000, 12, 3
 #: A stem needs this share of toxic rows (and LEAST_ROWS of them), and this log-odds.
 SHARE, LEAST_ROWS, LEAST_ODDS, TERMS = 0.004, 4, 3.0, 200
+#: Sum of weights, and of their squares, a word of clean text has by chance; the clean training rows are added to PRIOR_WORDS of such text.
+CHANCE, PRIOR_WORDS = (3e-4, 1.2e-3), 100_000
+#: Words of the shortest passage that is looked at on its own; standard deviations of chance that count as one unit; share by which its rate may be off.
+PASSAGE, SPREAD, DOUBT = 50, 2.0, 0.5
 
 ODD = re.compile("[" + "".join(LOOKALIKE) + "".join(map(re.escape, LEET)) + "]")
 INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<![\w@$!])[0134578@$!](?=[^\W\d_]{2})")
@@ -64,11 +72,12 @@ def spaced(text: str) -> tuple[str, int]:
 
 @dataclass
 class Lexicon:
-    """Stems with weights, exceptions, and the curve of the score."""
+    """Stems with weights, exceptions, the curve of the score, and what clean text has by chance."""
 
     stems: dict[str, float]
     exceptions: list[str] = field(default_factory=lambda: list(EXCEPTIONS))
     curve: tuple[float, float] = (-3.0, 1.5)
+    chance: tuple[float, float] = CHANCE
 
     def __post_init__(self) -> None:
         self.machine = ahocorasick.Automaton()
@@ -78,18 +87,43 @@ class Lexicon:
             self.machine.add_word(f" {phrase}", (None, len(phrase) + 1))
         self.machine.make_automaton()
 
-    def hits(self, text: str) -> tuple[float, int, int]:
-        """(sum of weights, number of matches that count, number of words)."""
+    def matches(self, text: str) -> tuple[list[tuple[int, float]], int]:
+        """((number of the word it begins in, weight) of each match that counts, number of words)."""
         line, n = spaced(text)
         found = [(end - size + 1, end, w) for end, (w, size) in self.machine.iter(line)] if self.stems else []
         calm = [(a, b) for a, b, w in found if w is None]
-        loud = [w for a, b, w in found if w is not None and not any(x <= a and b <= y for x, y in calm)]
-        return sum(loud), len(loud), n
+        loud, at, word = [], 0, 0
+        for a, b, w in sorted((x for x in found if x[2] is not None), key=lambda x: x[0]):
+            if not any(x <= a and b <= y for x, y in calm):
+                word, at = word + line.count(" ", at, a), a
+                loud.append((word, w))
+        return loud, n
+
+    def hits(self, text: str) -> tuple[float, int, int]:
+        """(sum of weights, number of matches that count, number of words)."""
+        loud, n = self.matches(text)
+        return sum(w for _, w in loud), len(loud), n
 
     def strength(self, text: str) -> float:
-        """Weights of the matches over a slowly growing norm of the length: the curve's variable."""
-        total, _, n = self.hits(text)
-        return total / (1 + math.log1p(n) / 4)
+        """By how much the weights of the matches exceed those of chance, in units that grow slowly with the length and with what chance varies: the curve's variable.
+
+        The greatest of the whole text's and its passages' (PASSAGE words, and
+        doubled from there); a passage's weight is less by the logarithm of the
+        number of places it could be in, so length alone doesn't make one.
+        """
+        loud, n = self.matches(text)
+        sums = [0.0, *accumulate(w for _, w in loud)]
+        mean, square = self.chance
+
+        def excess(weight: float, words: float) -> float:
+            return (weight - mean * words) / math.hypot(1 + math.log1p(words) / 4, SPREAD * math.sqrt(square * words), SPREAD * DOUBT * mean * words)
+
+        best, size, starts = excess(sums[-1], n), PASSAGE, [at for at, _ in loud]
+        while loud and size < n:
+            weight = max(sums[bisect_left(starts, at + size)] - sums[k] for k, at in enumerate(starts))
+            best = max(best, excess(weight - math.log(n / size), size))
+            size *= 2
+        return best
 
     def score(self, text: str | None) -> float:
         a, b = self.curve
@@ -143,14 +177,23 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "toxic",
     rows = worth.where(F.log(rate) >= LEAST_ODDS).orderBy(F.desc("toxic"), "stem").limit(20 * TERMS).collect()
     learned = choose([tuple(r) for r in rows], whole.toxic, whole.clean)
     stems = {w: v for w, v in fixed.items() if not any(w.startswith(s) for s in learned)} | learned
-    plain = Lexicon(stems)
+    loose = Lexicon(stems)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [loose.matches(t or "") for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"w": pa.array([sum(w for _, w in m) for m, _ in found], pa.float64()), "w2": pa.array([sum(w * w for _, w in m) for m, _ in found], pa.float64()), "n": pa.array([n for _, n in found], pa.int64())})
+
+    had = sample.where("y = 0").select("text").mapInArrow(weights, "w double, w2 double, n long").agg(F.sum("w"), F.sum("w2"), F.sum("n")).first()
+    chance = tuple((x + c * PRIOR_WORDS) / (had[2] + PRIOR_WORDS) for x, c in zip(had[:2], CHANCE, strict=True))
+    plain = Lexicon(stems, chance=chance)
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"x": pa.array([plain.strength(t or "") for t in b.column(0).to_pylist()], pa.float64()), "y": b.column(1).cast(pa.int32())})
 
     points = sample.select("text", F.col("y").cast("int")).mapInArrow(strengths, "x double, y int").collect()  # limit rows at most
-    return Lexicon(stems, curve=logistic(np.array([p.x for p in points]), np.array([p.y for p in points], float)))
+    return Lexicon(stems, curve=logistic(np.array([p.x for p in points]), np.array([p.y for p in points], float)), chance=chance)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50) -> tuple[float, float]:
@@ -170,11 +213,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50)
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the score of each text, 0 to 1. Null texts are scored as empty."""
-    stems, exceptions, curve = lexicon.stems, lexicon.exceptions, lexicon.curve
+    stems, exceptions, curve, chance = lexicon.stems, lexicon.exceptions, lexicon.curve, lexicon.chance
     names = docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(stems, exceptions, curve)
+        own = Lexicon(stems, exceptions, curve, chance)
         at = names.index(text)
         for b in batches:
             scores = pa.array([own.score(t.as_py()) for t in b.column(at)], pa.float64())  # one text at a time

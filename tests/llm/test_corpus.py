@@ -319,3 +319,16 @@ def test_toxicity(spark, empty):
     assert {i: r.held_out for i, r in rows.items()} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in rows}
     assert toxicity.digest(spark, docs.limit(0), labels.limit(0)).count() == 0
     assert toxicity.folded("ІD10T caf3s") == "idiot cafes" and "zworble" in toxicity.fit(docs, labels, fold("doc_id", 4) != 2).stems
+
+
+def test_toxicity_of_long_texts(spark):
+    docs, labels, _ = labelled(spark, lambda r: prose(r, 40) + f" you {r.choice(['idiot', 'moron'])} " + prose(r, 20), "toxic")
+    lexicon = toxicity.fit(docs, labels, fold("doc_id", 4) != 2)
+    r = random.Random(7)
+    clean = prose(r, 200_000).split()
+    for at in r.sample(range(len(clean)), 14):  # as many as clean text of that length has by chance
+        clean[at] = "idiot"
+    toxic = [w if k % 30 else "moron" for k, w in enumerate(prose(r, 200_000).split())]
+    passage = clean[:90_000] + toxic[:200] + clean[90_000:]
+    assert [lexicon.score(" ".join(t)) >= toxicity.THRESHOLD for t in (clean, toxic, passage, clean * 5)] == [False, True, True, False]
+    assert lexicon.hits("an idiot and a moron") == (sum(w for _, w in lexicon.matches("an idiot and a moron")[0]), 2, 5)
