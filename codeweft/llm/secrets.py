@@ -32,12 +32,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "format"]
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,256}")
-DIGIT = re.compile("[0-9]")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Documents sampled for labelled credentials and ordinary words, values of each label used.
 SAMPLE_DOCS, SAMPLE_VALUES, SAMPLE_WORDS = 4_000, 400, 20_000
 #: Confidence of the merge test, and what a candidate needs: log-likelihood ratio in all and for each character.
-ALPHA, LEAST_RATIO, LEAST_EACH, LEAST_DIGITS = 0.05, 12.0, 0.6, 3
+ALPHA, LEAST_RATIO, LEAST_EACH = 0.05, 12.0, 0.6
 SPAN = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType()), StructField("text", StringType())])
 CLASSES = str.maketrans({c: k for k, cs in {"d": string.digits, "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in cs})
 END = ""
@@ -215,15 +214,14 @@ def spans_of(text: str, formats: Formats) -> list[tuple[str, int, int, float, st
     """All spans (kind, start, end, score, value), by start, then kind: base ones, and likely tokens that overlap none."""
     base = [(k, a, b, formats.ratio(spelled(v)), v) for k, a, b, v in base_spans(text)]
     more = []
-    if DIGIT.search(text):
-        for m in TOKEN.finditer(text):
-            a, b = m.span()
-            value = m[0].rstrip(".=-")
-            if len(DIGIT.findall(value)) < LEAST_DIGITS or any(a < y and x < b for _, x, y, *_ in base):
-                continue
-            ratio = formats.ratio(spelled(value))
-            if ratio >= LEAST_RATIO and ratio >= LEAST_EACH * len(value):
-                more.append(("format", a, a + len(value), ratio, value))
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        value = m[0].rstrip(".=-")
+        if any(a < y and x < b for _, x, y, *_ in base):
+            continue
+        ratio = formats.ratio(spelled(value))
+        if ratio >= LEAST_RATIO and ratio >= LEAST_EACH * len(value):
+            more.append(("format", a, a + len(value), ratio, value))
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -72,6 +72,18 @@ def test_secrets(spark, docs, empty):
     assert secrets.digest(empty).count() == 0 and None in got
 
 
+def test_secrets_of_few_digits_and_of_any_length(spark, empty):
+    formats = secrets.fit(empty)
+    r = random.Random(5)
+    draw = lambda k, chars="abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ": "".join(r.choice(chars) for _ in range(k))
+    few, none = draw(11) + "7" + draw(12), "ghp_" + draw(36)
+    token = f"eyJ{draw(33)}.eyJ{draw(516, '0123456789abcdefghijABCDEFGHIJxyzXYZ')}.{draw(43)}"
+    assert len(token) == 600
+    for key in (few, none, token):
+        assert [s[:3] for s in secrets.spans_of(f"see {key} here", formats)] == [("format", 4, 4 + len(key))]
+    assert secrets.spans_of("=" * 80 + " keitlichenlichkeitlichen " + "x" * 5_000 + " some/path_of/ordinary-words.only", formats) == []
+
+
 def test_grammar_is_learned():
     a = secrets.Automaton([secrets.spelled(x) for x in secrets.examples()["access"]])
     assert len(a.next) < 30 and a.log_likelihood(secrets.spelled("AKIA" + "B7" * 8)) > a.log_likelihood(secrets.spelled("hello world of text.")) + 20
