@@ -79,11 +79,12 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for d in range(radius + 1) for bits in combinations(range(width), d)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, joined: DataFrame | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, joined: DataFrame | None = None, ends: bool = False) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct fingerprints fps(fp) that differ in at most radius bits.
 
     With joined(fp, root) for all of them, the pairs of different roots that such
-    fingerprints link: what already hangs together stands as one.
+    fingerprints link: what already hangs together stands as one. ends: the
+    fingerprints of such pairs themselves, so that each can be verified.
     """
     rooted = joined if joined is not None else fps.select("fp", F.col("fp").alias("root"))
     parts = segments(fps.count(), radius)
@@ -98,6 +99,8 @@ def links(fps: DataFrame, radius: int = RADIUS, joined: DataFrame | None = None)
         looks = looked if looks is None else looks.unionByName(looked)
     near = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     found = looks.alias("l").join(files.alias("f"), (F.col("l.part") == F.col("f.part")) & (F.col("l.key") == F.col("f.key")) & near)
+    if ends:
+        return found.select("a", "b").distinct()
     return found.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct()
 
 

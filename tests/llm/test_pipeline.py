@@ -1,5 +1,7 @@
 """The pipeline against what its stages do one by one, on whole small tables."""
 
+import random
+
 import duckdb
 
 import __spark_entry__ as entry
@@ -41,3 +43,42 @@ def test_sql_of_decontamination(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 50 and "sequence_id" in rows.columns
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def singles(texts):
+    """Ids that a group's smallest id keeps, by exact five-word Jaccard of all pairs."""
+    sets, up = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {i for i in texts if find(i) == i}
+
+
+def test_near_copies_by_brute_force(spark):
+    r = random.Random(2)
+    draw = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    texts = {r_.doc_id: r_.text for r_ in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    base = [draw(r.randrange(20, 300)) for _ in range(12)]
+    more = []
+    for w in base:
+        more += [w, w + draw(len(w) // 5), w + draw(len(w) // 3), draw(len(w) // 6) + w]  # far in bits, some over and some under 0.8
+        for share in (40, 25, 12):
+            more.append([f"z{r.random()}" if k % share == 5 else x for k, x in enumerate(w)])
+    top = max(texts) + 1
+    texts |= {top + k: " ".join(w) for k, w in enumerate(more)} | {top + 900: "", top + 901: " ", top + 902: "one two", top + 903: "One  two"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()} == singles(texts)
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), SF).count() == 0
