@@ -350,7 +350,7 @@ _cypher("walk", "MATCH (c:Class {name: 'C7'})-[:CALLS*1..3]->(x) RETURN DISTINCT
 _cypher("walk_back", "MATCH (x)<-[:CALLS*2..2]-(c:Class) WHERE x.name = $name RETURN DISTINCT c.name AS name", STAR + " SELECT DISTINCT c.name FROM calls k JOIN calls l ON l.target = k.source JOIN nodes c ON c.id = l.source JOIN nodes x ON x.id = k.target WHERE x.name = 'red plate' AND c.kind = 'Class'", name="red plate")
 _cypher("dead_code", "MATCH (n:Function) WHERE n.file_rel_path STARTS WITH 'sales/' AND NOT (n)-[:CALLS]->(:Function) RETURN n.name AS name", STAR + " SELECT name FROM nodes WHERE kind = 'Function' AND starts_with(file, 'sales/') AND id NOT IN (SELECT source FROM calls)")
 _cypher("optional", "MATCH (p:Function {name: 'hot ring'}) OPTIONAL MATCH (o:Function)-[:CALLS]->(p) WHERE o.file_rel_path STARTS WITH 'sales/199801' RETURN p.qualified_name AS id, count(o) AS n", STAR + " SELECT p.q AS id, count(o.q) AS n FROM s p LEFT JOIN (calls JOIN s o ON o.q = source AND starts_with(o.file, 'sales/199801')) ON target = p.q WHERE p.name = 'hot ring' GROUP BY p.q")
-_cypher("with_having", "MATCH (a)-[:CALLS]->(b) WITH b, count(a) AS n WHERE n >= 80 RETURN b.name AS name, n ORDER BY n DESC, name LIMIT 1000000", STAR + " SELECT any_value(b.name) AS name, count(*) AS n FROM calls JOIN nodes b ON b.id = target GROUP BY b.id HAVING count(*) >= 80")
+_cypher("with_having", "MATCH (a)-[:CALLS]->(b) WITH b, count(a) AS n WHERE n >= 80 RETURN b.name AS name, n ORDER BY n DESC, name", STAR + " SELECT any_value(b.name) AS name, count(*) AS n FROM calls JOIN nodes b ON b.id = target GROUP BY b.id HAVING count(*) >= 80")
 _cypher("union", "MATCH (n:Class) RETURN n.file_rel_path AS file UNION MATCH (n:Interface) RETURN n.file_rel_path AS file", STAR + " SELECT file FROM nodes WHERE kind = 'Class' UNION SELECT file FROM nodes WHERE kind = 'Interface'")
 _cypher("unwind_in", "UNWIND $names AS wanted MATCH (n) WHERE n.name = wanted AND NOT n.file_rel_path IN ['cat/Brand#1.ts'] RETURN wanted, count(*) AS n", STAR + " SELECT name AS wanted, count(*) AS n FROM nodes WHERE name IN ('red plate', 'C5', 'nothing') AND file <> 'cat/Brand#1.ts' GROUP BY name", names=["red plate", "C5", "nothing"])
 _cypher("case", "MATCH (n) WHERE n.name IS NOT NULL AND n.external = false RETURN CASE n.kind WHEN 'Class' THEN 'type' WHEN 'Interface' THEN 'type' ELSE toLower(n.kind) END AS sort, count(*) AS n", STAR + " SELECT CASE WHEN kind IN ('Class', 'Interface') THEN 'type' ELSE lower(kind) END AS sort, count(*) AS n FROM nodes GROUP BY 1")

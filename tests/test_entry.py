@@ -25,3 +25,8 @@ def test_queries_agree_with_sql(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_having_has_no_cap(spark):
+    assert "LIMIT" not in entry.queries()["cypher_with_having"].__doc__
+    test_queries_agree_with_sql(spark, "cypher_with_having")
