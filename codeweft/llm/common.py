@@ -12,15 +12,12 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.staging import shared_folder, staged
+from codeweft.staging import discard, fresh_path, shared_folder, staged
 
-__all__ = ["NOT_SPACE", "SPACE", "bounded_ids", "fresh_path", "lower_ascii", "release", "shared_folder", "staged", "table", "words_of"]
+__all__ = ["NOT_SPACE", "SPACE", "bounded_ids", "discard", "fresh_path", "looked_up", "lower_ascii", "shared_folder", "staged", "table", "words_of"]
 
 #: Fixed value: a word is a run of characters other than these, as a Java and Python class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,11 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path inside the folder that driver and executors share."""
-    return f"{shared_folder(spark)}/codeweft-{name}-{uuid.uuid4().hex}"
-
-
 def words_of(text: Column) -> Column:
     """array<string> of the words of a text; empty for null or blank."""
     parts = F.split(text, SPACE + "+", -1)
@@ -60,7 +52,15 @@ def bounded_ids(ids: DataFrame, limit: int) -> DataFrame:
     return ids.orderBy(F.pmod(order, F.lit(1 << 20)), order, key, *ids.columns[1:]).limit(limit)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop shuffle files of finished, unreferenced plans at once, not at its next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def looked_up(rows: DataFrame, names: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with names on key, which names has once each; n is how many of rows have it, and is left out.
+
+    Keys of more than a thousandth of all rows, so at most a thousand of them, are
+    broadcast: a key that a third of the rows share doesn't meet in one task. Both
+    sides are read twice and should be tables.
+    """
+    total = names.agg(F.sum(n)).first()[0] or 0
+    hot = names.where(F.col(n) > max(1_000, total // 1_000)).drop(n)
+    rare = names.where(F.col(n) <= max(1_000, total // 1_000)).drop(n)
+    keys = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(rare, key))

@@ -6,6 +6,12 @@ differ in at most r bits differ, in one of m segments, in at most r // m bits.
 So each fingerprint is filed under the value of each of its segments, and looks
 up all values in a Hamming ball of that radius around its own; the join's
 condition verifies the whole distance, so only true links leave it.
+
+A group of many near copies shares its files, so its pairs are never listed. First
+each look-up meets only two members of a file, its lowest and highest; what
+they link becomes one class. Then classes meet, one row for each in a file: a class
+lies in a Hamming ball around its root, and only where two balls come within
+the radius are the members compared.
 """
 
 from __future__ import annotations
@@ -17,14 +23,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import staged
+from codeweft.llm.common import looked_up, staged
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
-#: Radii at which links are joined before those of the greatest radius are looked for; none where groups of near copies are small.
-STEPS: tuple[int, ...] = ()
+#: What making a look-up costs, in comparisons of fingerprints.
+LOOKUP = 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -61,17 +67,19 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", shing
 
 
 def segments(n: int, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the segments that cost least for n fingerprints: look-ups plus expected matches."""
+    """(lowest bit, width) of the segments that cost least for n fingerprints: look-ups and the comparisons they lead to.
+
+    At most radius // 2 + 1 segments, so that every ball has a radius of 1 at least, but two in any case.
+    """
 
     def plan(m: int) -> list[tuple[int, int]]:
         widths = [BITS // m + (i < BITS % m) for i in range(m)]
         return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
     def cost(m: int) -> float:
-        balls = [sum(comb(w, d) for d in range(radius // m + 1)) * (1 + n / 2.0**w) for _, w in plan(m)]
-        return sum(balls)
+        return sum(sum(comb(w, d) for d in range(radius // m + 1)) * (LOOKUP + n / 2.0**w) for _, w in plan(m))
 
-    return plan(min(range(2, radius + 2), key=cost))
+    return plan(min(range(2, max(2, radius // 2 + 1) + 1), key=cost))
 
 
 def ball(width: int, radius: int) -> list[int]:
@@ -79,44 +87,59 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for d in range(radius + 1) for bits in combinations(range(width), d)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, joined: DataFrame | None = None, ends: bool = False) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints fps(fp) that differ in at most radius bits.
+def distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
-    With joined(fp, root) for all of them, the pairs of different roots that such
-    fingerprints link: what already hangs together stands as one. ends: the
-    fingerprints of such pairs themselves, so that each can be verified.
-    """
-    rooted = joined if joined is not None else fps.select("fp", F.col("fp").alias("root"))
+
+def filed(rooted: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+    """(part, key, *) of rooted(fp, ...): each fingerprint once for each segment, under the segment's value."""
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.shiftright("fp", low).bitwiseAND((1 << width) - 1).alias("key")) for i, (low, width) in enumerate(parts)]))
+    return rooted.withColumn("at", at).select("at.part", "at.key", *rooted.columns)
+
+
+def looked(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(part, key, *) of rooted(fp, ...): each fingerprint once for each value in the Hamming ball around each of its segments."""
+    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in ball(width, radius // len(parts))]) for _, width in parts])
+    own = filed(rooted, parts)
+    return own.withColumn("mask", F.explode(F.element_at(masks, F.col("part") + 1))).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
+
+
+def leaders(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(a, b): pairs of different roots of rooted(fp, root) linked by a fingerprint and the first or last member of a file it looks up."""
+    ends = filed(rooted, parts).groupBy("part", "key").agg(F.min(F.struct("root", "fp")).alias("low"), F.max(F.struct("root", "fp")).alias("high"))
+    met = looked(rooted, parts, radius).join(ends, ["part", "key"])
+    met = met.select("fp", "root", F.explode(F.array("low", "high")).alias("end")).select("fp", "root", F.col("end.root").alias("to"), F.col("end.fp").alias("other"))
+    return met.where((F.col("root") != F.col("to")) & (distance("fp", "other") <= radius)).select(F.least("root", "to").alias("a"), F.greatest("root", "to").alias("b")).distinct()
+
+
+def links(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(a, b): all pairs of different roots of rooted(fp, root) that some fingerprints of theirs link; a root is one of its fingerprints."""
+    reach = F.max(distance("fp", "root"))
+    files = filed(rooted, parts).withColumnRenamed("fp", "b").withColumnRenamed("root", "b_root")
+    looks = looked(rooted, parts, radius).withColumnRenamed("fp", "a").withColumnRenamed("root", "a_root")
+    there = filed(rooted, parts).groupBy("part", "key", F.col("root").alias("b_root")).agg(reach.alias("b_reach"))
+    here = looked(rooted, parts, radius).groupBy("part", "key", F.col("root").alias("a_root")).agg(reach.alias("a_reach"))
+    close = (F.col("a_root") < F.col("b_root")) & (distance("a_root", "b_root") <= radius + F.col("a_reach") + F.col("b_reach"))
+    met = staged(here.alias("h").join(there.alias("t"), (F.col("h.part") == F.col("t.part")) & (F.col("h.key") == F.col("t.key")) & close).select("h.part", "h.key", "a_root", "a_reach", "b_root", "b_reach"), "classes")
+    # two fingerprints alone are linked if they are close at all
+    alone = (F.col("a_reach") == 0) & (F.col("b_reach") == 0)
+    half = looks.join(met.where(~alone), ["part", "key", "a_root"]).where(distance("a", "b_root") <= radius + F.col("b_reach"))
+    both = half.join(files, ["part", "key", "b_root"]).where(distance("a", "b") <= radius)
+    return met.where(alone).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).unionByName(both.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).distinct()
+
+
+def renamed(rooted: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """rooted(key, root) with each root replaced by its own in roots(node, root); a result of staged()."""
+    to = roots.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return staged(rooted.join(to, "root", "left").select(key, F.coalesce("to", "root").alias("root")), "roots")
+
+
+def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root): the components of the distinct fingerprints fps(fp) under links of at most radius bits, root being the smallest."""
     parts = segments(fps.count(), radius)
-    files, looks = None, None
-    for i, (low, width) in enumerate(parts):
-        value = F.shiftright("fp", low).bitwiseAND((1 << width) - 1)
-        masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius // len(parts))])
-        filed = rooted.select(F.lit(i).alias("part"), value.alias("key"), F.col("fp").alias("b"), F.col("root").alias("b_root"))
-        looked = rooted.select(F.lit(i).alias("part"), F.col("fp").alias("a"), F.col("root").alias("a_root"), value.alias("v"), F.explode(masks).alias("mask"))
-        looked = looked.select("part", F.col("v").bitwiseXOR(F.col("mask")).alias("key"), "a", "a_root")
-        files = filed if files is None else files.unionByName(filed)
-        looks = looked if looks is None else looks.unionByName(looked)
-    near = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    found = looks.alias("l").join(files.alias("f"), (F.col("l.part") == F.col("f.part")) & (F.col("l.key") == F.col("f.key")) & near)
-    if ends:
-        return found.select("a", "b").distinct()
-    return found.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct()
-
-
-def linked(fps: DataFrame, radii: list[int]) -> DataFrame:
-    """(fp, root): the components of fps(fp) under links of the last, greatest, of radii.
-
-    Links of the smaller radii are joined first. They are links of the greatest too,
-    so the components are the same, but a large group of near copies has become a few
-    roots by the time its many pairs would be found.
-    """
-    rooted = None
-    for radius in radii:
-        roots = components(links(fps, radius, rooted))
-        before = rooted if rooted is not None else fps.select("fp", F.col("fp").alias("root"))
-        now = before.join(roots, before["root"] == roots["node"], "left").select("fp", F.coalesce(roots["root"], before["root"]).alias("root"))
-        rooted = staged(now, "roots")
+    rooted = fps.select("fp", F.col("fp").alias("root"))
+    for pairs in (leaders, links):
+        rooted = renamed(rooted, components(pairs(rooted, parts, radius)), "fp")
     return rooted
 
 
@@ -135,28 +158,32 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = staged(small.distinct(), "edges")
+        edges = staged(small.distinct(), "edges", instead_of=edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, once: bool = False, steps: tuple[int, ...] = STEPS) -> DataFrame:
-    """(doc, fp, component_id): one row per row of docs; the smallest doc id that links reach, itself included.
+def named(rooted: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """(key, n, component_id) of rooted(key, root): the smallest least of a root's keys in least(key, least, n)."""
+    placed = staged(rooted.join(least, key), "placed")
+    smallest = staged(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("keys")), "smallest")
+    return looked_up(placed.select(key, "n", "root"), smallest, "root", "keys").select(key, "n", "component_id")
 
-    steps are smaller radii whose links are joined first, as linked() says.
 
-    Null and blank texts have fingerprint 0 and are linked like any other. A null
-    id counts for no component's smallest; a component of such rows has a null id.
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, once: bool = False) -> DataFrame:
+    """(doc, fp, component_id): one row per row of docs; the smallest doc id that links reach, itself included.
+
+    Null and blank texts have fingerprint 0 and are linked like any other. Rows that
+    repeat an id are linked each on its own. A null id counts for no component's
+    smallest; a component of such rows alone has a null id. Ties don't matter: equal
+    fingerprints are one node. An empty table gives an empty result.
     """
     marked = staged(fingerprints(docs, doc, text, shingle, once), "fingerprints")
-    first = staged(marked.groupBy("fp").agg(F.min(doc).alias("least")), "distinct")
-    roots = linked(first.select("fp"), [*(r for r in steps if r < radius), radius])
-    rooted = staged(first.join(roots, "fp"), "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(doc, "fp", "component_id")
+    first = staged(marked.groupBy("fp").agg(F.min(doc).alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    components_of = staged(named(linked(first.select("fp"), radius), first, "fp"), "named")
+    return looked_up(marked, components_of, "fp", "n").select(doc, "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import pytest
 import xxhash
 
 from codeweft.llm import decontaminate, packing, pii, quality, rules, secrets, simhash, substrings, toxicity, warc
+from codeweft.llm.common import looked_up
 from codeweft.llm.labels import fold
 
 WORDS = "the of and to in is that it was for on are with as be at by this from or alpha beta gamma delta tree river stone cloud".split()
@@ -231,8 +232,8 @@ def test_simhash(docs, empty):
     assert simhash.digest(empty).count() == 0
 
 
-@pytest.mark.parametrize("radius,first", [(4, [2, 3]), (7, [2, 3]), (3, [])])
-def test_links_lose_none(spark, radius, first):
+@pytest.mark.parametrize("radius", [1, 3, 4, 7])
+def test_links_lose_none(spark, radius):
     r = random.Random(radius)
     fps = [r.getrandbits(64) - (1 << 63) for _ in range(40)]
     for f in fps[:20]:
@@ -241,13 +242,32 @@ def test_links_lose_none(spark, radius, first):
             for b in r.sample(range(63), r.randrange(1, 9)):
                 g ^= 1 << b
             fps.append(g)
+    for _ in range(60):  # one large group around a fingerprint
+        g = fps[0]
+        for b in r.sample(range(63), r.randrange(1, 6)):
+            g ^= 1 << b
+        fps.append(g)
     fps = sorted(set(fps))
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
     near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= radius
     pairs = {(a, b) for a in fps for b in fps if a < b and near(a, b)}
-    assert {tuple(x) for x in simhash.links(df, radius).collect()} == pairs
-    got = {x.fp: x.root for x in simhash.linked(df, [*first, radius]).collect()}
-    assert got == roots(fps, lambda a, b: (a, b) in pairs)
+    parts = simhash.segments(len(fps), radius)
+    assert all(radius // len(simhash.segments(n, radius)) >= min(1, radius // 2) for n in (1, 10**5, 10**8, 10**11))
+    rooted = spark.createDataFrame([(f, f) for f in fps], "fp long, root long")
+    assert {tuple(x) for x in simhash.links(rooted, parts, radius).collect()} == pairs
+    assert {tuple(x) for x in simhash.leaders(rooted, parts, radius).collect()} <= pairs
+    want = roots(fps, lambda a, b: (a, b) in pairs)
+    assert {x.fp: x.root for x in simhash.linked(rooted.select("fp"), radius).collect()} == want
+    # classes, each being part of a component: every link between two of them is found
+    half = roots(fps, lambda a, b: (a, b) in pairs and (a * 31 + b) % 3 == 0)
+    placed = spark.createDataFrame(list(half.items()), "fp long, root long")
+    between = {tuple(sorted((half[a], half[b]))) for a, b in pairs if half[a] != half[b]}
+    assert {tuple(x) for x in simhash.links(placed, parts, radius).collect()} == between
+
+
+def test_hot_keys_are_looked_up(spark):
+    rows = spark.createDataFrame([(k, 0 if k < 3000 else k) for k in range(4000)], "row long, key long")
+    names = rows.groupBy("key").count().selectExpr("key", "count AS n", "key * 2 AS name")
+    assert {tuple(x) for x in looked_up(rows, names, "key", "n").select("row", "name").collect()} == {(k, 0 if k < 3000 else 2 * k) for k in range(4000)}
 
 
 def test_components_of_a_chain_and_a_star(spark):
