@@ -13,6 +13,7 @@ loses less than a sequence or so, and holds many hundred of them.
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import re
 import struct
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,13 @@ LOWER = bytes(ord(chr(c).lower()) if ord(chr(c).lower()) < 256 else c for c in r
 LETTERS, NUMBERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD = re.compile(rb"[%b]+|'(?:[stmd]|re|ve|ll)|[%b]|[^\x20\t-\r\xa0%b%b]+" % (LETTERS, NUMBERS, LETTERS, NUMBERS))
 
+#: How a tokenizer must normalise and cut texts for WORD to do the same.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers."""
@@ -55,6 +62,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        #: whether texts may be cut into words before the tokenizer sees them
+        self.by_words = own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == SPLITTER and own["model"].get("end_of_word_suffix") == "</w>" and all(t["content"].startswith("<|") for t in own["added_tokens"])
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         # the last token of every word, and no other, ends with the mark of word ends
@@ -82,7 +93,9 @@ class Encoder:
                 self.young[w] = self.whole(w.decode("latin-1"))
 
     def encode(self, text: str) -> bytes:
-        """As the tokenizer's; words are encoded apart from their text and remembered, as no merge crosses a word."""
+        """As the tokenizer's; where it cuts words as WORD does, they are encoded apart from their text and remembered, as no merge crosses a word."""
+        if not self.by_words:
+            return self.whole(text)
         try:
             plain = text.encode("latin-1")
         except UnicodeEncodeError:
@@ -231,16 +244,16 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, key: str
     patterns = fitted_patterns(histogram, capacity)
     names = [*cut.columns, "sequence_id", "offset"]
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "piece"], kind="stable").reset_index(drop=True)
-        sequence, offset = pack_shard(pdf["length"].to_numpy(), patterns, capacity)
-        pdf["sequence_id"] = (int(pdf["_shard"].iloc[0]) << 32) + sequence
-        return pdf.assign(offset=offset)[names].astype({key: "Int64"})
+    def each(own: pa.Table) -> pa.Table:
+        own = own.sort_by([(key, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        sequence, offset = pack_shard(own["length"].to_numpy(), patterns, capacity)
+        base = own["_shard"][0].as_py() << 32
+        return own.append_column("sequence_id", pa.array(base + sequence)).append_column("offset", pa.array(offset)).select(names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
     # the row's place breaks ties between repeated rows, so that none gathers in a shard
     dealt = cut.withColumn("_shard", F.pmod(F.xxhash64(F.col(key), "piece", "ids_crc32"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("_shard").applyInPandas(each, kinds)
+    return dealt.groupBy("_shard").applyInArrow(each, kinds)
 
 
 def packed(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
