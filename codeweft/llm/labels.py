@@ -23,4 +23,5 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, seen: Column, limit:
     known = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull() & seen)
     known = known.groupBy(F.col(doc).alias("_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = bounded_ids(known, limit)
-    return docs.join(F.broadcast(chosen), docs[doc] == chosen["_id"]).select(docs[doc], F.col(text), "y")
+    own = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
+    return own.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_doc").alias(doc), F.col("_text").alias(text), "y")

@@ -24,8 +24,8 @@ from pyspark.sql.types import DoubleType, StructType
 
 from codeweft.llm.labels import fold, sampled
 
-#: Labelled documents used for fitting, and lines of each (a run from its middle part).
-SAMPLE, SAMPLE_LINES = 2_500, 40
+#: Labelled documents used for fitting, with all their lines; the fit takes a document's lines as chains of this many that follow one another.
+SAMPLE, CHAIN = 2_000, 64
 #: A longer line is described by its pieces of this many characters, each a position of the chain.
 PIECE = 2_000
 SIGNS = re.compile(r"[#*$%&|<>@^~=+{}\[\]\\_/]")
@@ -117,14 +117,16 @@ class Chain:
         return 1 / (1 + math.exp(-(a + b * self.quality(text))))
 
 
-def fit_chain(docs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, ridge: float = 1.0) -> Chain:
-    """Maximum likelihood of line labels (0, 1), with a ridge, by Adam; documents are padded to one length."""
+def fit_chain(docs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, ridge: float = 1.0, start: Chain | None = None) -> Chain:
+    """Maximum likelihood of line labels (0, 1), with a ridge, by Adam; documents are cut into chains of CHAIN lines at most."""
+    docs = [(x[k : k + CHAIN], y[k : k + CHAIN]) for x, y in docs for k in range(0, len(y), CHAIN)]
     longest = max(len(y) for _, y in docs)
     n = len(docs)
     x, y, mask = np.zeros((n, longest, WIDTH), np.float32), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
     for i, (f, labels) in enumerate(docs):
         x[i, : len(f)], y[i, : len(f)], mask[i, : len(f)] = f, labels, True
-    theta, first, second = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
+    theta = np.zeros(WIDTH + 4) if start is None else np.concatenate([start.weights, start.moves.ravel()])
+    first, second = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
     both = mask[:, 1:] & mask[:, :-1]
     pairs = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)])
     for r in range(1, rounds + 1):
@@ -168,7 +170,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "quality", doc: str = "doc_id", text: str = "text", limit: int = SAMPLE) -> Chain:
-    """The chain of at most limit labelled rows where seen holds (label 1: good); without both labels a chain that finds all lines good."""
+    """The chain of at most limit labelled rows where seen holds (label 1: good), fitted to all their lines; without both labels a chain that finds all lines good."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,17 +179,15 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "quality"
                 for line in lines:
                     own.append(describe(line, before))
                     before.add(line)
-                k = max(0, (len(own) - SAMPLE_LINES) // 2)
-                part = own[k : k + SAMPLE_LINES]
-                sizes = [float(len(x)) for x in lines[k : k + SAMPLE_LINES]]
-                yield pa.RecordBatch.from_pydict({"y": pa.array([y], pa.int32()), "own": pa.array([[v for row in part for v in row]], pa.list_(pa.float64())), "sizes": pa.array([sizes], pa.list_(pa.float64()))})
+                own, sizes = np.array(own, np.float32), np.array([len(x) for x in lines], np.float32)
+                yield pa.RecordBatch.from_pydict({"y": pa.array([y], pa.int32()), "own": [own.tobytes()], "sizes": [sizes.tobytes()]}, pa.schema([("y", pa.int32()), ("own", pa.binary()), ("sizes", pa.binary())]))
 
-    rows = sampled(docs, labels, label, seen, limit, doc, text).select(text, "y").mapInArrow(described, "y int, own array<double>, sizes array<double>").collect()
-    rows = sorted((r for r in rows if r.sizes), key=lambda r: (r.y, r.sizes, r.own))  # limit rows of SAMPLE_LINES at most, in a fixed order
+    rows = sampled(docs, labels, label, seen, limit, doc, text).select(text, "y").mapInArrow(described, "y int, own binary, sizes binary").collect()
+    rows = sorted((r for r in rows if r.sizes), key=lambda r: (r.y, bytes(r.sizes), bytes(r.own)))  # limit rows at most, in a fixed order
     marks = np.array([int(r.y > 0) for r in rows])
     if not len(rows) or marks.min() == marks.max():
         return Chain(np.zeros(WIDTH), np.zeros((2, 2)), (4.0, 0.0))
-    xs = [with_neighbours(np.array(r.own).reshape(-1, len(OWN))) for r in rows]
+    xs = [with_neighbours(np.frombuffer(r.own, np.float32).astype(np.float64).reshape(-1, len(OWN))) for r in rows]
     ys = [np.full(len(x), 1 - m) for x, m in zip(xs, marks, strict=True)]
     chain = fit_chain(list(zip(xs, ys, strict=True)))
     for _ in range(2):
@@ -195,13 +195,15 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "quality"
             if not m:  # in a bad document the lines that look ordinary are good, but for its worst
                 p = chain.marginals(xs[i])
                 ys[i] = ((p >= 0.5) | (p == p.max())).astype(np.int64)
-        chain = fit_chain(list(zip(xs, ys, strict=True)))
-    quality = np.array([float(((1 - chain.marginals(x)) * r.sizes).sum() / sum(r.sizes)) for x, r in zip(xs, rows, strict=True)])
+        chain = fit_chain(list(zip(xs, ys, strict=True)), 60, start=chain)
+    sizes = [np.frombuffer(r.sizes, np.float32).astype(np.float64) for r in rows]
+    quality = np.array([float(((1 - chain.marginals(x)) * n).sum() / n.sum()) for x, n in zip(xs, sizes, strict=True)])
     return Chain(chain.weights, chain.moves, logistic(quality, marks.astype(float)))
 
 
 def scored(docs: DataFrame, chain: Chain, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the probability of each text to be good, 0 to 1. Null texts are scored as empty."""
+    """docs with the probability of each text to be good, 0 to 1. Null texts are scored as empty; a column of that name is replaced."""
+    docs = docs.drop(out)
     names = docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import math
 import random
 import re
 import string
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,8 +33,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "format"]
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Documents sampled for labelled credentials and ordinary words, values of each label used.
+#: Documents sampled for labelled credentials and ordinary words; of these the values of each label that are fitted, and the words (their most frequent spellings).
 SAMPLE_DOCS, SAMPLE_VALUES, SAMPLE_WORDS = 4_000, 400, 20_000
+#: A longer run of characters isn't an ordinary word: it is in no language model, but still a candidate.
+LONGEST_WORD = 40
 #: Confidence of the merge test, and what a candidate needs: log-likelihood ratio in all and for each character.
 ALPHA, LEAST_RATIO, LEAST_EACH = 0.05, 12.0, 0.6
 SPAN = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType()), StructField("text", StringType())])
@@ -187,19 +189,22 @@ def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Formats:
     chosen = bounded_ids(docs.select(F.col(doc).alias("_id")).where("_id is not null").distinct(), SAMPLE_DOCS)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, values = [], []
+        seen: Counter[tuple[str, str]] = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 own = base_spans(t or "")
-                kinds += [k for k, *_ in own]
-                values += [spelled(v)[:256] for *_, v in own]
-                plain = [w for w in (t or "").split() if len(w) <= 40 and not any(w in v or v in w for *_, v in own)][:: max(1, len(t or "") // 2_000)]
-                kinds += ["word"] * len(plain)
-                values += [spelled(w) for w in plain]
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
+                seen.update((k, spelled(v)) for k, _, _, v in own)
+                # ordinary words: those that no base span touches
+                rest, at = [], 0
+                for _, x, y, _ in sorted(own, key=lambda z: z[1]):
+                    rest.append((t or "")[at : max(at, x)])
+                    at = max(at, y)
+                rest.append((t or "")[at:])
+                seen.update(("word", spelled(w)) for part in rest for w in part.split() if len(w) <= LONGEST_WORD)
+        yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in seen], "value": [v for _, v in seen], "n": [*seen.values()]}, pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())]))
 
     sample = docs.join(F.broadcast(chosen), docs[doc] == chosen["_id"], "left_semi").select(text)
-    counted = staged(sample.mapInArrow(label, "kind string, value string").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")), "labelled")
+    counted = staged(sample.mapInArrow(label, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "labelled")
     order = F.xxhash64("value")
     words = counted.where("kind = 'word'").orderBy(F.desc("n"), order).limit(SAMPLE_WORDS).collect()
     labelled = {k: counted.where(F.col("kind") == k).orderBy(order, "value").limit(SAMPLE_VALUES).collect() for k in KINDS[:3]}

@@ -41,9 +41,9 @@ LOOKALIKE = {
 }
 #: Digits and signs that stand for letters inside a word.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-#: Training rows at most, and the longest and shortest stem.
+#: Training rows at most; lengths of the stems that are tried, besides whole words of any length.
 SAMPLE, LONGEST, SHORTEST = 8_000, 12, 3
-#: A stem needs this share of toxic rows (and LEAST_ROWS of them), and this log-odds.
+#: A stem needs this share of toxic rows (and LEAST_ROWS of them), and this log-odds; the lexicon learns at most TERMS, those in most toxic rows.
 SHARE, LEAST_ROWS, LEAST_ODDS, TERMS = 0.004, 4, 3.0, 200
 #: Sum of weights, and of their squares, a word of clean text has by chance; the clean training rows are added to PRIOR_WORDS of such text.
 CHANCE, PRIOR_WORDS = (3e-4, 1.2e-3), 100_000
@@ -131,14 +131,14 @@ class Lexicon:
 
 
 def stem_counts(sample: DataFrame) -> DataFrame:
-    """(stem, toxic, clean): rows of either label that hold a word beginning with the stem; one row too for stem '' (all rows)."""
+    """(stem, toxic, clean): rows of either label that hold a word beginning with the stem (a stem longer than LONGEST: the word itself); one row too for stem '' (all rows)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = set(WORD.findall(folded(t or "")))
-                both[0 if y else 1].update({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {""})
+                both[0 if y else 1].update({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w for w in words if len(w) > LONGEST} | {""})
         stems = sorted({*both[0], *both[1]})
         yield pa.RecordBatch.from_pydict({"stem": stems, "toxic": [both[0][s] for s in stems], "clean": [both[1][s] for s in stems]}, pa.schema([("stem", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]))
 
@@ -164,7 +164,11 @@ def choose(counts: list[tuple[str, int, int]], all_toxic: int, all_clean: int) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "toxic", doc: str = "doc_id", text: str = "text", limit: int = SAMPLE) -> Lexicon:
-    """The lexicon learned from at most limit labelled rows; the fixed words alone if there are none of both labels."""
+    """The lexicon learned from at most limit labelled rows; the fixed words alone if there are none of both labels.
+
+    Of the stems that set toxic rows apart the 20 * TERMS in most toxic rows come to
+    the driver, and TERMS of them at most are learned, besides the fixed words.
+    """
     sample = staged(sampled(docs, labels, label, seen, limit, doc, text).select(F.col(text).alias("text"), "y"), "toxic")
     counts = staged(stem_counts(sample), "stems")
     whole = counts.where("stem = ''").first()
@@ -212,7 +216,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50)
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the score of each text, 0 to 1. Null texts are scored as empty."""
+    """docs with the score of each text, 0 to 1. Null texts are scored as empty; a column of that name is replaced."""
+    docs = docs.drop(out)
     stems, exceptions, curve, chance = lexicon.stems, lexicon.exceptions, lexicon.curve, lexicon.chance
     names = docs.columns
 
