@@ -11,6 +11,7 @@ from codeweft.llm.common import table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents: counts and hash of the base spans, all spans, the greatest score."""
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
@@ -20,34 +21,42 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted): quality of documents, learned from labels outside the held-out fold."""
     return quality.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents: counts and hash of the base spans, all spans, the sum of their scores."""
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of documents, the base verdict and the whole one."""
     return rules.digest(table(spark, sf_dir, "documents"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256): documents without the 50-word windows of documents with smaller ids."""
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token pieces of documents and their places in sequences of at most 4096 tokens."""
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id): documents linked by fingerprints of at most 4 differing bits."""
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of pages, written to ZIP-packaged archives and read back by ranges."""
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted): toxicity of documents, learned from labels outside the held-out fold."""
     return toxicity.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -78,5 +87,67 @@ WITH w AS (
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, round(count(*) / n_item, 6) AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-9
+""",
+    "op5_quality_rules": f"""
+WITH lists AS (
+  SELECT * FROM (VALUES {", ".join(f"('{k}', string_split('{v}', ' '))" for k, v in rules.COMMON.items())}) t (lang, known)
+), d AS (
+  SELECT doc_id, lower(trim(coalesce(lang, ''))) AS lang, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
+    regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D.,;:!?]+') AS bare
+  FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS x FROM d
+), twin AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1
+), rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twin) GROUP BY doc_id
+), c AS (
+  SELECT d.doc_id, d.lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    [{", ".join(f"length(text) - length(regexp_replace(text, '[{c}]', '', 'g'))" for c in (x.replace("'", "''") for x in rules.CLASSES.values()))}] AS tally,
+    list_transform(known, lambda k: len(list_filter(bare, lambda x: x = k))) AS found
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lists USING (lang)
+), h AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    list_append(tally, greatest(word_chars - list_sum(tally), 0)) AS classes,
+    list_append(found, greatest(n_words - list_sum(found), 0)) AS common
+  FROM c
+), shares AS (
+  SELECT lang, 'classes' AS of, unnest(range(1, len(classes) + 1)) AS i, unnest(list_transform(classes, lambda x: x / list_sum(classes))) AS p FROM h WHERE common IS NOT NULL AND NOT base_failed AND list_sum(classes) > 0
+  UNION ALL SELECT lang, 'common', unnest(range(1, len(common) + 1)), unnest(list_transform(common, lambda x: x / list_sum(common))) FROM h WHERE common IS NOT NULL AND NOT base_failed AND list_sum(common) > 0
+), ref AS (SELECT lang, of, i, avg(p) AS q FROM shares GROUP BY ALL
+), ratio AS (SELECT lang, of, i, q / sum(q) OVER (PARTITION BY lang, of) AS q FROM ref
+), own AS (
+  SELECT doc_id, lang, 'classes' AS of, unnest(range(1, len(classes) + 1)) AS i, unnest(list_transform(classes, lambda x: x / list_sum(classes))) AS p FROM h WHERE common IS NOT NULL AND word_chars >= {rules.LEAST_CHARS}
+  UNION ALL SELECT doc_id, lang, 'common', unnest(range(1, len(common) + 1)), unnest(list_transform(common, lambda x: x / list_sum(common))) FROM h WHERE common IS NOT NULL AND n_words >= {rules.LEAST_FOR_WORDS}
+), far AS (
+  SELECT doc_id, of, round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)), 6) AS js FROM own JOIN ratio USING (lang, of, i) GROUP BY doc_id, of
+), pair AS (SELECT doc_id, max(js) FILTER (WHERE of = 'classes') AS a, max(js) FILTER (WHERE of = 'common') AS b FROM far GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(a > {rules.MOST_CLASSES[0]} + {rules.MOST_CLASSES[1]} / sqrt(word_chars), false) AND NOT coalesce(b > {rules.MOST_WORDS[0]} + {rules.MOST_WORDS[1]} / sqrt(n_words), false) AS kept
+FROM h LEFT JOIN pair USING (doc_id)
+""",
+    "op6_substring_dedup": """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: array_to_string(w[i:i + 49], ' '))) AS x FROM d
+), late AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY x) < doc_id
+), gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM late) GROUP BY doc_id
+), word AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM d JOIN gone USING (doc_id)
+), left_over AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM word ANTI JOIN (SELECT DISTINCT doc_id, unnest(p) AS i FROM gone) USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed, sha256(CASE WHEN p IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN left_over USING (doc_id)
+""",
+    "op9_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((((strpos('0123456789abcdef', x[5 * i // 4 + 1]) - 1) * 16 + strpos('0123456789abcdef', x[5 * i // 4 + 2]) - 1) >> (3 - 5 * i % 4)) & 31)]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
 """,
 }

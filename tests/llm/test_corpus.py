@@ -125,7 +125,7 @@ def test_rules(spark, docs, empty):
         assert not (got[i].base_failed and got[i].kept)
     assert got[0].kept and not got[36].kept and rules.digest(empty).count() == 0
     other = spark.createDataFrame([(1, "a" * 400, None), (2, None, "xx")], "doc_id long, text string, lang string")
-    assert {r.js_classes for r in rules.digest(other).collect()} == {None}
+    assert {r.js_classes for r in rules.judge(other).collect()} == {None}
 
 
 def test_decontamination(spark, docs, empty):
