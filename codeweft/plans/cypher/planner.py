@@ -2,10 +2,10 @@
 
 A node variable v becomes the columns v.<property> of the node table, an edge
 variable those of the edge table; a shared variable is an equality join on
-node_id. A path of variable length between nodes is expanded level by level
-over distinct (start, end) pairs, from the end that is already bound, which is
-exact for distinct results; where the number of paths counts, set
-path_counts and walks that repeat no edge are counted instead.
+node_id. A path of variable length is expanded level by level, from the end that
+is already bound: every walk that repeats no edge is a row. Where the result can't
+tell how many walks join two nodes (EXISTS, DISTINCT, sums that ignore repeats),
+distinct (start, end) pairs are expanded instead, until nothing new is reached.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import itertools
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from codeweft.operators.graph import CodeGraph
 from codeweft.plans.cypher.parser import Edge, Match, Node, Pattern, Project, Query, QueryError, Unwind, parse
@@ -24,8 +26,6 @@ from codeweft.staging import staged
 NODE_COLUMNS = ["kind", "name", "qualified_name", "node_id", "file_path", "file_rel_path", "line_start", "line_end", "language", "file_hash", "external"]
 EDGE_COLUMNS = ["kind", "source", "target"]
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect"}
-#: Steps of a path without an upper bound, as of recursive queries elsewhere.
-MOST_STEPS = 100
 
 
 class Scope:
@@ -36,8 +36,10 @@ class Scope:
 
 
 class Planner:
-    def __init__(self, graph: CodeGraph, params: dict[str, Any], path_counts: bool) -> None:
-        self.graph, self.params, self.path_counts, self.fresh = graph, params, path_counts, itertools.count()
+    def __init__(self, graph: CodeGraph, params: dict[str, Any]) -> None:
+        self.graph, self.params, self.fresh = graph, params, itertools.count()
+        #: Whether the clause at hand may join two nodes once, however many walks do.
+        self.once = False
         #: Edge variables of the MATCH at hand: none may stand for the same edge as another.
         self.matched: list[str] = []
 
@@ -56,8 +58,10 @@ class Planner:
 
     def branch(self, clauses: list[Any]) -> DataFrame:
         scope = Scope(None, {})
-        for c in clauses:
+        for at, c in enumerate(clauses):
             if isinstance(c, Match):
+                after = next((x for x in clauses[at:] if isinstance(x, Project)), None)
+                self.once = after is not None and blind_to_repeats(after)
                 scope = self.match(scope, c)
             elif isinstance(c, Unwind):
                 df = scope.df if scope.df is not None else self.graph.nodes.sparkSession.range(1).select()
@@ -92,11 +96,23 @@ class Planner:
         inner, how = (e[1], "left_anti") if e[0] == "not" else (e, "left_semi")
         if inner[0] in ("pattern", "pattern where"):
             return Scope(self.exists(scope, inner, how), scope.kinds)
-        if any(x[0] in ("pattern", "pattern where") for x in walk(e)):
-            raise QueryError("a pattern may stand in WHERE alone, after NOT, or joined by AND")
-        return Scope(scope.df.where(self.expr(scope, e)), scope.kinds)
-
-    def exists(self, scope: Scope, e: Any, how: str) -> DataFrame:
+        flags: list[str] = []
+
+        def replaced(x: Any) -> Any:
+            """x with each pattern in it turned into a column that says whether it was found."""
+            nonlocal scope
+            if isinstance(x, tuple) and x and x[0] in ("pattern", "pattern where"):
+                found, ids = self.matches(scope, x)
+                flags.append(f"_flag{next(self.fresh)}")
+                scope = Scope(scope.df.join(found.withColumn(flags[-1], F.lit(True)), ids, "left"), scope.kinds)
+                return ("flag", flags[-1])
+            return type(x)(replaced(y) for y in x) if isinstance(x, tuple | list) else x
+
+        e = replaced(e)
+        return Scope(scope.df.where(self.expr(scope, e)).drop(*flags), scope.kinds)
+
+    def matches(self, scope: Scope, e: Any) -> tuple[DataFrame, list[str]]:
+        """The distinct ids of the pattern's bound variables for which it is found, and their columns."""
         pattern = e[1]
         bound = [n.var for n in pattern.nodes if n.var in scope.kinds]
         if not bound:
@@ -106,13 +122,17 @@ class Planner:
         nodes = Scope(None, {})
         for v in dict.fromkeys(bound):
             nodes = self.add_node(nodes, Node(v, [], {}))
-        outer, self.matched = self.matched, []
+        outer, self.matched, self.once, before = self.matched, [], True, self.once
         have = nodes.df.join(keys, ids, "left_semi") if len(ids) == 1 else nodes.df.join(keys, ids)
         found = self.add(Scope(have, nodes.kinds), pattern)
         if e[0] == "pattern where":
             found = self.where(found, e[2])
-        self.matched = outer
-        return scope.df.join(found.df.select(*[F.col(f"`{c}`") for c in ids]).distinct(), ids, how)
+        self.matched, self.once = outer, before
+        return found.df.select(*[F.col(f"`{c}`") for c in ids]).distinct(), ids
+
+    def exists(self, scope: Scope, e: Any, how: str) -> DataFrame:
+        found, ids = self.matches(scope, e)
+        return scope.df.join(found, ids, how)
 
     # -- patterns
 
@@ -154,17 +174,17 @@ class Planner:
         scope = self.add_node(scope, p.nodes[start])
         used: list[str] = []
         for i in range(start, len(p.edges)):
-            scope = self.step(scope, p.nodes[i], p.edges[i], p.nodes[i + 1], True, used)
+            scope = self.step(scope, p.nodes[i], p.edges[i], p.nodes[i + 1], True, used, bool(p.var))
         for i in range(start - 1, -1, -1):
-            scope = self.step(scope, p.nodes[i + 1], p.edges[i], p.nodes[i], False, used)
+            scope = self.step(scope, p.nodes[i + 1], p.edges[i], p.nodes[i], False, used, bool(p.var))
         if p.var:
             lengths = [F.col(f"`{u}`") for u in used]
             total = reduce(lambda a, b: a + b, lengths, F.lit(0))
             scope = Scope(scope.df.withColumn(p.var, total), scope.kinds | {p.var: "path"})
         return scope
 
-    def step(self, scope: Scope, a: Node, e: Edge, b: Node, forward: bool, used: list[str]) -> Scope:
-        """One edge or walk from the bound node a to b, in the order of expansion."""
+    def step(self, scope: Scope, a: Node, e: Edge, b: Node, forward: bool, used: list[str], named: bool) -> Scope:
+        """One edge or walk from the bound node a to b, in the order of expansion; named: the path has a variable, so its length counts."""
         direction = e.direction if forward else {"out": "in", "in": "out", "both": "both"}[e.direction]
         edges = self.graph.edges.select(*EDGE_COLUMNS)
         if e.kinds:
@@ -183,7 +203,7 @@ class Planner:
             if e.var:
                 raise QueryError("the edges of a walk can't be named")
             starts = scope.df.select(self.column(a.var, "node_id").alias("_start")).distinct()
-            rows = self.walks(rows, starts, e.least, e.most).withColumnsRenamed({"_start": "_from", "_end": "_to", "_steps": length})
+            rows = self.walks(rows, starts, e.least, e.most, self.once and e.least <= 1 and not named).withColumnsRenamed({"_start": "_from", "_end": "_to", "_steps": length})
         else:
             rows = rows.withColumn(length, F.lit(1))
             var = e.var or f"_e{next(self.fresh)}"
@@ -208,39 +228,38 @@ class Planner:
             scope = Scope(df, kinds | {b.var: "node"})
         return scope
 
-    def walks(self, edges: DataFrame, starts: DataFrame, least: int, most: int | None) -> DataFrame:
-        """(_start, _end, _steps): ends of walks of least to most edges, each pair once with its fewest steps; with path_counts a row per walk that repeats no edge."""
+    def walks(self, edges: DataFrame, starts: DataFrame, least: int, most: int | None, once: bool) -> DataFrame:
+        """(_start, _end, _steps): a row for each walk of least to most edges (most None: no bound) that repeats no edge; once: a row for each pair of ends, with its fewest steps.
+
+        Fewest steps never repeat an edge, so once needs no memory of edges; it is for least 0 or 1.
+        """
         steps = staged(edges.select("_from", "_to", "kind", "source", "target").distinct(), "steps")
-        bound = MOST_STEPS if most is None else most
-        if self.path_counts:
-            edge = F.concat_ws("\0", "kind", "source", "target")
-            level = starts.select("_start", F.col("_start").alias("_end"), F.array().cast("array<string>").alias("_edges"))
-            out = [level] if least == 0 else []
-            for k in range(1, bound + 1):
-                level = level.join(steps, F.col("_end") == F.col("_from")).where(~F.array_contains("_edges", edge)).select("_start", F.col("_to").alias("_end"), F.array_append("_edges", edge).alias("_edges"))
-                level = staged(level, "walks")
+        if once:
+            steps = steps.select("_from", "_to").distinct()
+            level = staged(starts.select("_start", F.col("_start").alias("_end"), F.lit(0).alias("_steps")), "walks")
+            none, found = level.limit(0), [level] if least == 0 else []
+            seen = level.select("_start", "_end") if least == 0 else none.select("_start", "_end")
+            for k in itertools.count(1) if most is None else range(1, most + 1):
+                new = level.join(steps, F.col("_end") == F.col("_from")).select("_start", F.col("_to").alias("_end")).distinct()
+                level = staged(new.join(seen, ["_start", "_end"], "left_anti").withColumn("_steps", F.lit(k)), "walks")
                 if level.isEmpty():
                     break
-                if k >= least:
-                    out.append(level)
-            none = level.limit(0)
-            return reduce(DataFrame.unionByName, out, none).select("_start", "_end", F.size("_edges").alias("_steps"))
-        steps = steps.select("_from", "_to").distinct()
-        level = staged(starts.select("_start", F.col("_start").alias("_end"), F.lit(0).alias("_steps")), "walks")
-        found = [level] if least == 0 else []
-        seen = [level] if least == 0 else []
-        for k in range(1, bound + 1):
-            new = level.join(steps, F.col("_end") == F.col("_from")).select("_start", F.col("_to").alias("_end")).distinct()
-            if k >= least or least <= 1:
-                for s in seen:
-                    new = new.join(s.select("_start", "_end"), ["_start", "_end"], "left_anti")
-            level = staged(new.withColumn("_steps", F.lit(k)), "walks")
+                found.append(level)
+                seen = seen.unionByName(level.select("_start", "_end"))
+                if k % 16 == 0:
+                    seen = staged(seen, "seen")
+            return reduce(DataFrame.unionByName, found, none)
+        edge = F.xxhash64("kind", "source", "target")
+        level = starts.select("_start", F.col("_start").alias("_end"), F.array().cast("array<bigint>").alias("_edges"))
+        out = [level] if least == 0 else []
+        for k in itertools.count(1) if most is None else range(1, most + 1):
+            level = level.join(steps, F.col("_end") == F.col("_from")).where(~F.array_contains("_edges", edge)).select("_start", F.col("_to").alias("_end"), F.array_append("_edges", edge).alias("_edges"))
+            level = staged(level, "walks")
             if level.isEmpty():
                 break
             if k >= least:
-                found.append(level)
-                seen.append(level)
-        return reduce(DataFrame.unionByName, found, level.limit(0))
+                out.append(level)
+        return reduce(DataFrame.unionByName, out, level.limit(0)).select("_start", "_end", F.size("_edges").alias("_steps"))
 
     # -- projections
 
@@ -354,6 +373,8 @@ class Planner:
             for test, value in reversed(e[1]):
                 out = F.when(self.expr(scope, test), self.expr(scope, value)).otherwise(out)
             return out
+        if op == "flag":
+            return F.coalesce(F.col(e[1]), F.lit(False))
         if op == "call":
             return self.call(scope, e)
         if op in ("=", "<>") and all(x[0] == "var" and scope.kinds.get(x[1]) == "node" for x in e[1:]):
@@ -364,7 +385,7 @@ class Planner:
             two = {
                 "=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, ">": lambda: a > b, "<=": lambda: a <= b, ">=": lambda: a >= b,
                 "+": lambda: F.concat(a, b) if any(x[0] == "lit" and isinstance(x[1], str) for x in walk(e)) else a + b,
-                "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b, "^": lambda: F.pow(a, b),
+                "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.call_function("div", a, b) if self.whole(scope, a) and self.whole(scope, b) else a / b, "%": lambda: a % b, "^": lambda: F.pow(a, b),
                 "starts with": lambda: F.startswith(a, b), "ends with": lambda: F.endswith(a, b), "contains": lambda: F.contains(a, b),
                 "in": lambda: F.array_contains(b, a), "=~": lambda: F.regexp_like(a, F.concat(F.lit("^(?:"), b, F.lit(")$"))),
             }
@@ -372,6 +393,14 @@ class Planner:
                 return two[op]()
         raise QueryError(f"{op} can't stand here")
 
+    def whole(self, scope: Scope, value: Column) -> bool:
+        """Whether an expression over the rows so far is a whole number."""
+        rows = scope.df if scope.df is not None else self.graph.nodes.sparkSession.range(1)
+        try:
+            return isinstance(rows.select(value).schema[0].dataType, IntegralType)
+        except AnalysisException:
+            return False
+
     def call(self, scope: Scope, e: Any) -> Column:
         _, name, args, distinct = e
         if name in AGGREGATES:
@@ -381,8 +410,10 @@ class Planner:
             value = self.column(arg[1], "node_id") if name == "count" and arg[0] == "var" and scope.kinds.get(arg[1]) == "node" else self.expr(scope, arg)
             if name == "collect":
                 return F.array_sort(F.collect_set(value) if distinct else F.collect_list(value))
+            if distinct and name == "avg":
+                return F.sum_distinct(value) / F.nullif(F.count_distinct(value), F.lit(0))
             if distinct:
-                return {"count": F.count_distinct, "sum": F.sum_distinct}.get(name, {"avg": F.avg, "min": F.min, "max": F.max}.get(name))(value)
+                return {"count": F.count_distinct, "sum": F.sum_distinct, "min": F.min, "max": F.max}[name](value)
             return {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[name](value)
         if name in ("type", "labels", "id", "properties", "startnode", "endnode") and args and args[0][0] == "var":
             var = args[0][1]
@@ -427,6 +458,12 @@ def has_aggregate(e: Any) -> bool:
     return any(x and x[0] == "call" and x[1] in AGGREGATES for x in walk(e))
 
 
-def run(graph: CodeGraph, text: str, params: dict[str, Any] | None = None, path_counts: bool = False) -> DataFrame:
+def blind_to_repeats(p: Project) -> bool:
+    """Whether a projection gives the same rows however often its input repeats one."""
+    sums = [x for e, _ in p.items for x in walk(e) if x and x[0] == "call" and x[1] in AGGREGATES]
+    return all(x[1] in ("min", "max") or x[3] for x in sums) if sums else p.distinct
+
+
+def run(graph: CodeGraph, text: str, params: dict[str, Any] | None = None) -> DataFrame:
     """The rows of a query as a DataFrame whose columns are named as RETURN says ('n.name' without AS)."""
-    return Planner(graph, params or {}, path_counts).query(parse(text))
+    return Planner(graph, params or {}).query(parse(text))

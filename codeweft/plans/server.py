@@ -12,8 +12,6 @@ from codeweft.operators.graph import CodeGraph
 from codeweft.operators.store import GraphStore
 from codeweft.plans import cypher
 
-#: Rows that one answer carries at most; count is that of all rows.
-MOST_ROWS = 10_000
 STORE_FOLDER = ".codeweft/graph"
 
 
@@ -21,8 +19,12 @@ def _error(message: str) -> dict[str, Any]:
     return {"rows": [], "count": 0, "summary": message, "error": message}
 
 
-def query_graph(graph: CodeGraph, text: str, params: dict[str, Any] | None = None) -> dict[str, Any]:
-    """rows, count and summary of a reading query; an error key, and no rows, where it can't be answered."""
+def query_graph(graph: CodeGraph, text: str, params: dict[str, Any] | None = None, most_rows: int | None = None) -> dict[str, Any]:
+    """rows, count and summary of a reading query; an error key, and no rows, where it can't be answered.
+
+    All rows are returned, as one answer; give most_rows where the answer must stay
+    small: count is that of all rows, and truncated says whether some are missing.
+    """
     try:
         cypher.parse(text)
     except cypher.QueryError as e:
@@ -33,12 +35,13 @@ def query_graph(graph: CodeGraph, text: str, params: dict[str, Any] | None = Non
         df = cypher.run(graph, text, params).persist()
         try:
             n = df.count()
-            rows = [r.asDict(recursive=True) for r in df.limit(MOST_ROWS).collect()]
+            rows = [r.asDict(recursive=True) for r in (df if most_rows is None else df.limit(most_rows)).toLocalIterator()]
         finally:
             df.unpersist()
     except (cypher.QueryError, PySparkException) as e:
         return _error(f"the query failed: {str(e).splitlines()[0]}")
-    return {"rows": rows, "count": n, "summary": f"Query returned {n} row(s)."}
+    answer = {"rows": rows, "count": n, "summary": f"Query returned {n} row(s)."}
+    return answer if most_rows is None else answer | {"truncated": len(rows) < n}
 
 
 def query_root(spark: SparkSession, text: str, root: str = ".") -> dict[str, Any]:
