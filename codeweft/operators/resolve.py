@@ -1,9 +1,10 @@
-"""Call resolution: rules as joins, ranked, the first rule with a hit wins for each call site.
+"""Call resolution: rules as joins, tried in order; the first rule with a hit wins for each call site.
 
-Short names that many definitions share are the hot keys here. The rules with
-a cap of k need only the first k + 1 definitions of a name (one may be the
-caller itself), so these are picked, once per name, before the join; rules
-without a cap join on two keys or start from sites with an import.
+A site leaves the race with its first hit, so each rule meets only what the rules
+before it left. Short names that many definitions share are the hot keys here. The rules
+with a cap of k need only the first k + 1 definitions of a name (one may be the
+caller itself): these stand as one short array per name, so a site meets one row.
+Imports meet definitions once per distinct name and folder, not once per site.
 """
 
 from __future__ import annotations
@@ -41,9 +42,22 @@ def prepared(call_sites: DataFrame) -> DataFrame:
 
 
 def first_of_name(definitions: DataFrame, cap: int) -> DataFrame:
-    """(short, target): the first cap definitions of each short name, by qualified name."""
+    """(short, targets): the first cap definitions of each short name, by qualified name, as an array."""
     w = Window.partitionBy("short").orderBy("target")
-    return definitions.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
+    first = definitions.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap)
+    return first.groupBy("short").agg(F.array_sort(F.collect_list("target")).alias("targets"))
+
+
+def definitions_of(nodes: DataFrame) -> DataFrame:
+    """(target, short, target_file) of the nodes that can be called."""
+    named = nodes.where("kind <> 'External' AND qualified_name IS NOT NULL AND qualified_name <> ''")
+    return named.select(F.col("qualified_name").alias("target"), short_name("qualified_name").alias("short"), file_of("qualified_name").alias("target_file")).distinct()
+
+
+def bound_sites(call_sites: DataFrame, imports: DataFrame) -> DataFrame:
+    """prepared() sites with the module that their file binds the prefix, or the bare name, to; the greatest if it binds it twice."""
+    bound = imports.groupBy("file_rel_path", "local_name").agg(F.max("module").alias("module"))
+    return prepared(call_sites).withColumn("local_name", F.coalesce("prefix", "raw")).join(bound, ["file_rel_path", "local_name"], "left").drop("local_name")
 
 
 def resolve(call_sites: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
@@ -51,42 +65,44 @@ def resolve(call_sites: DataFrame, nodes: DataFrame, imports: DataFrame) -> Data
 
     imports are (file_rel_path, local_name, module); if a file binds a name twice, the greatest module counts.
     """
-    named = nodes.where("kind <> 'External' AND qualified_name IS NOT NULL AND qualified_name <> ''")
-    defs = named.select(F.col("qualified_name").alias("target"), short_name("qualified_name").alias("short"), file_of("qualified_name").alias("target_file")).distinct()
-    bound = imports.groupBy("file_rel_path", "local_name").agg(F.max("module").alias("module"))
-    key = F.coalesce("prefix", "raw")
-    sites = prepared(call_sites).withColumn("local_name", key).join(bound, ["file_rel_path", "local_name"], "left").drop("local_name")
-    sites = staged(sites, "sites")
+    defs = staged(definitions_of(nodes), "definitions")
+    targets = defs.select("target")
+    names = staged(first_of_name(defs.select("short", "target"), max(FUZZY_CAP + 1, AMBIGUOUS_CAP)), "names")
     site = ["caller_qname", "file_rel_path", "raw"]
-    dotted, plain = sites.where("prefix IS NOT NULL"), sites.where("prefix IS NULL")
-
-    def hit(rows: DataFrame, rule: int) -> DataFrame:
-        return rows.select(*site, F.lit(rule).alias("rule"), "target")
-
-    def exact(rows: DataFrame, name: Column, rule: int) -> DataFrame:
-        return hit(rows.withColumn("target", name).join(defs.select("target"), "target"), rule)
-
-    capped = staged(first_of_name(defs.select("short", "target"), max(FUZZY_CAP + 1, AMBIGUOUS_CAP)), "names")
-    found = [
-        exact(sites, F.col("raw"), EXACT),
-        exact(dotted.where("module IS NOT NULL"), F.concat_ws("::", "module", "method"), IMPORT_SCOPE),
-        exact(dotted.where("module IS NOT NULL"), F.concat_ws(".", "module", "method"), IMPORT_DOT),
-    ]
-    fuzzy = dotted.withColumn("short", last_segment(F.substring_index("method", ".", -1))).join(capped, "short").where("target <> caller_qname")
-    w = Window.partitionBy(*site).orderBy("target")
-    found.append(hit(fuzzy.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= FUZZY_CAP), FUZZY))
+
+    def looked(rows: DataFrame, key: Column, name: str) -> DataFrame:
+        """rows with a column name: whether key is a definition."""
+        known = targets.select(F.col("target").alias("_key"), F.lit(True).alias(name))
+        return rows.withColumn("_key", key).join(known, "_key", "left").drop("_key")
+
+    def hits(rows: DataFrame, rule: Column | int, found: Column) -> DataFrame:
+        return rows.select(*site, (F.lit(rule) if isinstance(rule, int) else rule).alias("rule"), F.explode(found).alias("target"))
+
+    sites = staged(looked(bound_sites(call_sites, imports), F.col("raw"), "exact"), "sites")
+    rest = sites.where("exact IS NULL").drop("exact")
+    dotted, plain = rest.where("prefix IS NOT NULL"), rest.where("prefix IS NULL")
+    out = [hits(sites.where("exact"), EXACT, F.array("raw"))]
+
+    scope, dot = F.concat_ws("::", "module", "method"), F.concat_ws(".", "module", "method")
+    through = staged(looked(looked(dotted.where("module IS NOT NULL"), scope, "scope"), dot, "dot"), "through")
+    out.append(hits(through.where("scope OR dot"), F.when(F.col("scope"), IMPORT_SCOPE).otherwise(IMPORT_DOT), F.array(F.when(F.col("scope"), scope).otherwise(dot))))
+
+    left = through.where("scope IS NULL AND dot IS NULL").drop("scope", "dot").unionByName(dotted.where("module IS NULL"))
+    fuzzy = left.withColumn("short", last_segment(F.substring_index("method", ".", -1))).join(names, "short")
+    out.append(hits(fuzzy, FUZZY, F.slice(F.filter("targets", lambda t: t != F.col("caller_qname")), 1, FUZZY_CAP)))
+
     folder = F.replace(F.replace("module", F.lit("."), F.lit("/")), F.lit("::"), F.lit("/"))
-    imported = plain.where("module IS NOT NULL").withColumn("short", F.col("raw")).join(defs, "short").where(F.startswith("target", folder))
-    found.append(hit(imported, IMPORTED))
-    own = plain.withColumns({"short": F.col("raw"), "target_file": F.col("file_rel_path")}).join(defs, ["short", "target_file"])
-    found.append(hit(own, SAME_FILE))
-    some = plain.withColumn("short", F.col("raw")).join(capped, "short")
-    some = some.withColumns({"_n": F.row_number().over(w), "_all": F.count(F.lit(1)).over(Window.partitionBy(*site))})
-    found.append(hit(some.where("_all = 1"), SINGLE))
-    found.append(hit(some.where((F.col("_all") > 1) & (F.col("_n") <= AMBIGUOUS_CAP)), AMBIGUOUS))
-    every = reduce(DataFrame.unionByName, found).distinct()
-    best = every.withColumn("_best", F.min("rule").over(Window.partitionBy(*site))).where("rule = _best").drop("_best")
-    return best
+    bound = plain.where("module IS NOT NULL").withColumn("folder", folder)
+    imported = bound.select(F.col("raw").alias("short"), "folder").distinct().join(defs.select("short", "target"), "short").where(F.startswith("target", F.col("folder")))
+    imported = staged(imported.select(F.col("short").alias("raw"), "folder", "target"), "imported")
+    out.append(bound.join(imported, ["raw", "folder"]).select(*site, F.lit(IMPORTED).alias("rule"), "target"))
+
+    left = bound.join(imported.select("raw", "folder").distinct(), ["raw", "folder"], "left_anti").drop("folder").unionByName(plain.where("module IS NULL"))
+    own = defs.groupBy(F.col("short").alias("raw"), F.col("target_file").alias("file_rel_path")).agg(F.collect_list("target").alias("own"))  # of one file
+    left = left.join(own, ["raw", "file_rel_path"], "left").join(names.withColumnRenamed("short", "raw"), "raw", "left")
+    rule = F.when(F.col("own").isNotNull(), SAME_FILE).when(F.size("targets") == 1, SINGLE).otherwise(AMBIGUOUS)
+    out.append(hits(left, rule, F.coalesce("own", F.slice("targets", 1, AMBIGUOUS_CAP))))
+    return reduce(DataFrame.unionByName, [x.select(*site, "rule", "target") for x in out])
 
 
 def call_edges(resolved: DataFrame) -> DataFrame:
