@@ -11,6 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeweft import schema
 
+#: Bytes of sources whose rows make one Arrow batch.
+BATCH_BYTES = 4 << 20
+
 
 def parse_files(files: DataFrame) -> DataFrame:
     """schema.PARSED of files(path, rel_path, language, file_hash, content), a row per file.
@@ -23,16 +26,22 @@ def parse_files(files: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from codeweft.sources.parsers import parse
 
+        rows, held = [], 0
         for b in batches:
             for path, rel, language, digest, content in zip(*(c.to_pylist() if k < 4 else c for k, c in enumerate(b.columns)), strict=True):
-                p = parse((content.as_py() or b"").decode("utf-8", "replace"), rel, language)
-                row = {
+                text = content.as_py() or b""
+                p = parse(text.decode("utf-8", "replace"), rel, language)
+                rows.append({
                     "file_path": path, "file_rel_path": rel, "language": language, "file_hash": digest, "imports": list(p.imports.items()), "error": p.error,
                     "symbols": [dict(zip(schema.SYMBOL.names, s, strict=True)) for s in p.symbols],
                     "edges": [dict(zip(schema.EDGE.names, e, strict=True)) for e in p.edges],
                     "calls": [{"caller_qname": c, "raw_callee": r, "line": n, "file_rel_path": rel} for c, r, n in p.calls],
-                }
-                yield pa.RecordBatch.from_pylist([row], kind)
+                })
+                held += len(text)
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, kind)
+                    rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, kind)
 
     return files.select("path", "rel_path", "language", "file_hash", "content").mapInArrow(each, schema.PARSED)
 

@@ -8,7 +8,7 @@ from codeweft.operators import sync
 from codeweft.operators.store import GraphStore
 from codeweft.plans import server
 from codeweft.sources import changes, tree
-from tests.graphs import chain
+from tests.graphs import shop
 
 
 def write(root, name, text):
@@ -25,11 +25,11 @@ def git(root, *args):
 @pytest.fixture
 def root(tmp_path):
     r = str(tmp_path / "src")
-    write(r, "utils.py", "def helper():\n    pass\n")
-    write(r, "service.py", "from utils import helper\nclass Service:\n    def run(self):\n        helper()\n")
+    write(r, "tax.py", "def rate():\n    pass\n")
+    write(r, "cart.py", "from tax import rate\nclass Cart:\n    def total(self):\n        rate()\n")
     write(r, "node_modules/lib.js", "function a() {}")
     write(r, "README.md", "x")
-    write(r, "main.py", "def main():\n    Service().run()\n")
+    write(r, "page.py", "def show():\n    Cart().total()\n")
     git(r, "init", "-q")
     git(r, "add", ".")
     git(r, "commit", "-qm", "a")
@@ -45,31 +45,31 @@ def test_build_sync_and_rebuild_agree(spark, root, tmp_path):
     first = sync.build(spark, root, store)
     assert (first.files_parsed, first.files_skipped_hash, first.errors) == (3, 0, ())
     calls = {(s, t) for k, s, t in rows(store.table("edges")) if k == "CALLS"}
-    assert ("service.py::Service.run", "utils.py::helper") in calls
+    assert ("cart.py::Cart.total", "tax.py::rate") in calls
     again = sync.build(spark, root, store)
     assert (again.files_parsed, again.files_skipped_hash) == (0, 3)
-    write(root, "utils.py", "def helper():\n    other()\ndef other(): pass\n")
-    write(root, "new.go", "package x\nfunc F() { helper() }\n")
+    write(root, "tax.py", "def rate():\n    other()\ndef other(): pass\n")
+    write(root, "new.go", "package x\nfunc F() { rate() }\n")
     git(root, "add", "new.go")
-    git(root, "mv", "main.py", "app.py")
+    git(root, "mv", "page.py", "app.py")
     result = sync.sync(spark, root, store)
     assert (result.files_parsed, result.files_deleted, result.base_ref) == (3, 1, "HEAD")
     other = GraphStore(spark, f"file:{tmp_path}/h")
     sync.build(spark, root, other)
     assert rows(store.table("edges")) == rows(other.table("edges"))
     assert rows(store.table("nodes").drop("file_path")) == rows(other.table("nodes").drop("file_path"))
-    assert store.has_file("README.md", "x") is False and store.has_file("utils.py", "") is False
+    assert store.has_file("README.md", "x") is False and store.has_file("tax.py", "") is False
     os.remove(os.path.join(root, "new.go"))
     gone = sync.apply_changes(spark, root, store, spark.createDataFrame([("M", None, "nothing.py"), ("D", None, "new.go")], "status string, old_path string, path string"))
-    assert gone.errors == ("nothing.py: not found",) and "new.go::F" not in {r.node_id for r in store.all_nodes().collect()}
+    assert gone.errors == ("nothing.py: not found",) and gone.files_missing == 1 and "new.go::F" not in {r.node_id for r in store.all_nodes().collect()}
 
 
 def test_change_stream(spark, root, tmp_path):
     store = GraphStore(spark, f"file:{tmp_path}/g")
-    write(str(tmp_path / "feed"), "1.txt", "A\tutils.py\nA\tREADME.md\n")
+    write(str(tmp_path / "feed"), "1.txt", "A\ttax.py\nA\tREADME.md\n")
     q = streaming.follow(streaming.change_lines(spark, str(tmp_path / "feed")), root, store, str(tmp_path / "cp"))
     q.awaitTermination(120)
-    assert q.exception() is None and {r.node_id for r in store.all_nodes().collect()} == {"utils.py", "utils.py::helper"}
+    assert q.exception() is None and {r.node_id for r in store.all_nodes().collect()} == {"tax.py", "tax.py::rate"}
 
 
 def test_event_streams(spark, tmp_path):
@@ -89,16 +89,54 @@ def test_event_streams(spark, tmp_path):
 
 
 def test_delete_put_and_clear(spark, tmp_path):
-    store, g = GraphStore(spark, f"file:{tmp_path}/g"), chain(spark)
-    store.put_files(g.nodes, g.edges.unionByName(spark.createDataFrame([("IMPORTS", "main.py", "os"), ("CALLS", "elsewhere", "x")], "kind string, source string, target string")))
+    store, g = GraphStore(spark, f"file:{tmp_path}/g"), shop(spark)
+    store.put_files(g.nodes, g.edges.unionByName(spark.createDataFrame([("IMPORTS", "web/app.ts", "os"), ("CALLS", "elsewhere", "x")], "kind string, source string, target string")))
     nodes = {r.node_id: r for r in store.table("nodes").collect()}
     assert nodes["os"].kind == "External" and nodes["os"].qualified_name is None and "elsewhere" not in {r.source for r in store.table("edges").collect()}
-    store.put_calls(spark.createDataFrame([("CALLS", "main.py::main", "utils.py::helper")] * 2 + [("CALLS", "", "x")], "kind string, source string, target string"))
-    assert sum(r.kind == "CALLS" for r in store.table("edges").collect()) == 3
-    store.delete_files(["utils.py"])
-    assert "utils.py::helper" not in {r.target for r in store.table("edges").collect()} and store.all_nodes().count() == 5
-    store.clear()
+    store.put_calls(spark.createDataFrame([("CALLS", "web/app.ts::refresh", "lib/tax.py::rate")] * 2 + [("CALLS", "", "x")], "kind string, source string, target string"))
+    assert sum(r.kind == "CALLS" for r in store.table("edges").collect()) == 8
+    store.delete_files(["lib/tax.py"])
+    assert "lib/tax.py::rate" not in {r.target for r in store.table("edges").collect()} and store.all_nodes().count() == 7
+    with store:
+        store.clear()
     assert store.all_nodes().count() == 0 and store.table("edges").count() == 0
+    assert not [n for n in os.listdir(tmp_path / "g") if n.startswith("v0000000") and n < "v00000004"]
+
+
+def test_a_change_writes_only_its_buckets(spark, root, tmp_path):
+    for k in range(30):
+        write(root, f"more/m{k}.py", f"def f{k}():\n    f{k + 1}()\n")
+    store, seen = GraphStore(spark, f"file:{tmp_path}/g", 64), []
+    sync.build(spark, root, store, progress=lambda *x: seen.append(x))
+    assert [s for s, *_ in seen] == ["discovering", "checking_cache", "extracting", "extracting", "resolving_calls", "resolving_calls"] and seen[0] == ("discovering", 33, 33)
+    before = store._current()[2]
+    write(root, "more/m7.py", "def f7():\n    f9()\n    rate()\n")
+    result = sync.sync(spark, root, store)
+    assert result.files_parsed == 0  # not added to git yet
+    git(root, "add", ".")
+    result = sync.sync(spark, root, store)
+    after = store._current()[2]
+    assert (result.files_parsed, result.files_skipped_hash) == (1, 29) and result.calls > 0
+    write(root, "more/m9.py", "def f9():\n    pass\n")
+    before = store._current()[2]
+    changed = spark.createDataFrame([("M", None, "more/m9.py"), ("A", None, "no.py"), ("A", None, "big.py")], "status string, old_path string, path string")
+    write(root, "big.py", "x = 1\n" * 200_000)
+    result = sync.apply_changes(spark, root, store, changed)
+    after = store._current()[2]
+    assert (result.files_parsed, result.files_missing, result.files_too_large, result.errors) == (1, 1, 1, ("no.py: not found",))
+    assert {tuple(r) for r in result.problems.collect()} == {("no.py", "not found"), ("big.py", "too large")}
+    touched = {n: sum(after[n].get(b) != f for b, f in before[n].items()) for n in before}
+    assert all(0 <= touched[n] <= 4 for n in touched) and touched["nodes"] == 1
+    other = GraphStore(spark, f"file:{tmp_path}/h")
+    sync.build(spark, root, other)
+    assert rows(store.table("edges")) == rows(other.table("edges"))
+
+
+def test_the_last_definition_of_a_name_counts(spark, tmp_path):
+    write(str(tmp_path / "s"), "a.py", "def f():\n    pass\n\ndef f():\n    g()\n")
+    store = GraphStore(spark, f"file:{tmp_path}/g")
+    sync.build(spark, str(tmp_path / "s"), store)
+    assert [(r.line_start, r.line_end) for r in store.all_nodes().where("name = 'f'").collect()] == [(4, 5)]
 
 
 def test_not_a_repository(spark, tmp_path):
@@ -121,9 +159,11 @@ def test_scan(spark, tmp_path):
 
 
 def test_query_tool(spark, tmp_path):
-    g = chain(spark)
+    g = shop(spark)
     ok = server.query_graph(g, "MATCH (n) WHERE n.kind = 'Function' RETURN n.name")
-    assert ok["count"] == 3 and {"n.name": "main"} in ok["rows"] and ok["summary"] == "Query returned 3 row(s)."
+    assert ok["count"] == len(ok["rows"]) == 6 and {"n.name": "show"} in ok["rows"] and ok["summary"] == "Query returned 6 row(s)."
+    some = server.query_graph(g, "MATCH (n) WHERE n.kind = 'Function' RETURN n.name", most_rows=2)
+    assert (some["count"], len(some["rows"]), some["truncated"]) == (6, 2, True)
     none = server.query_graph(g, "MATCH (n {name: 'nothing'}) RETURN n.name")
     assert none["count"] == 0 and "error" not in none
     for bad in ("", "  ", "MATCH (n)", "create (n) return n", "MATCH (n) SET n.x = 1 RETURN n", "MATCH (n) DETACH DELETE n", "MATCH (n) RETURN m.x", "MATCH (n RETURN n"):
