@@ -65,8 +65,14 @@ def discard(df: DataFrame) -> None:
     _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [path]).remove(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df, a result of staged(), whose folder sweep() leaves alone from now on."""
+    _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [df._codeweft_path]).remove(df._codeweft_path)
+    return df
+
+
 def sweep(spark: SparkSession) -> int:
-    """Removes all intermediate folders of this application, how many; results not yet written elsewhere can't be read afterwards."""
+    """Removes all intermediate folders of this application but those kept, how many; results not yet written elsewhere can't be read afterwards."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         _remove(spark, path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.operators.graph import CodeGraph, external_nodes
+from codeweft.staging import keep
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,18 @@ def star_graph(spark: SparkSession, sf_dir: str, least_quantity: float = 0.0) ->
     return CodeGraph(known.unionByName(external_nodes(inherits.select("target"), known)), edges)
 
 
+_STAGED: dict[tuple[str, str], CodeGraph] = {}
+
+
+def staged_star(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """star_graph, written once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        g = star_graph(spark, sf_dir).staged()
+        _STAGED[key] = CodeGraph(keep(g.nodes), keep(g.edges))
+    return _STAGED[key]
+
+
 def nation_graph(spark: SparkSession, sf_dir: str, share: float = 0.0017) -> CodeGraph:
     """A cyclic graph: a nation calls another whose suppliers sold its customers at least this share of all lines."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
@@ -106,6 +119,19 @@ def star_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound.unionByName(files.withColumns({"local_name": F.lit("cat"), "module": F.lit("cat/none.ts")}))
 
 
+def bound_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(call sites, imports): an order calls its parts through their bound file, through a bound part, or calls itself by its bare name, in turn by line number."""
+    named = symbols(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") % 3).alias("m"))
+    rows = lines.join(named.where("of = 'orders'").select(F.col("key").alias("l_orderkey"), F.col("qname").alias("caller_qname"), F.col("file").alias("file_rel_path")), "l_orderkey")
+    rows = rows.join(named.where("of = 'part'").select(F.col("key").alias("l_partkey"), F.col("file").alias("part_file"), F.col("name").alias("part_name")), "l_partkey")
+    m, part = F.col("m"), F.concat(F.lit("P"), F.col("l_partkey"))
+    file_name, part_name = F.concat(F.lit("m"), F.col("l_partkey")), F.concat(F.lit("k"), F.col("l_partkey"))
+    raw = F.when(m == 0, F.concat_ws(".", file_name, part, "part_name")).when(m == 1, F.concat_ws(".", part_name, "part_name")).otherwise(F.concat(F.lit("O"), F.col("l_orderkey")))
+    imports = rows.where("m < 2").select("file_rel_path", F.when(m == 0, file_name).otherwise(part_name).alias("local_name"), F.when(m == 0, F.col("part_file")).otherwise(F.concat_ws("::", "part_file", part)).alias("module")).distinct()
+    return rows.select("caller_qname", raw.alias("raw_callee"), F.lit(1).alias("line"), "file_rel_path").distinct(), imports
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content, length): a file per document; its suffix follows the language, its folder the source."""
     suffix = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "de", ".h").when(F.col("lang") == "fr", ".TS").otherwise(".txt")
