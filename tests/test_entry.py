@@ -11,7 +11,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["upstream_files", "downstream_symbols", "resolve_all", "delta_decode", "cypher_walk", "cypher_optional", "file_hash_linecount"])
+@pytest.mark.parametrize("name", ["upstream_files", "downstream_symbols", "resolve_all", "delta_decode", "cypher_walk", "cypher_optional", "file_hash_linecount", "parse_symbols", "parse_edges", "parse_calls", "parse_imports", "sync_edges", "store_roundtrip", "stream_windows", "stream_next_events", "markdown_report", "impact_with_ranks", "resolve_through_imports", "cypher_walk_counts", "cypher_pattern_or", "cypher_arithmetic", "pagerank_cyclic", "sql_functions"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
