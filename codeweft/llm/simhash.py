@@ -105,11 +105,24 @@ def looked(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> Data
 
 
 def leaders(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
-    """(a, b): pairs of different roots of rooted(fp, root) linked by a fingerprint and the first or last member of a file it looks up."""
-    ends = filed(rooted, parts).groupBy("part", "key").agg(F.min(F.struct("root", "fp")).alias("low"), F.max(F.struct("root", "fp")).alias("high"))
+    """(root, to, bits): each fingerprint of rooted(fp, root) with the first and last members of the files it looks up that differ in bits <= radius, of another root."""
+    ends = filed(rooted, parts).groupBy("part", "key").agg(F.min("root").alias("low"), F.min_by("fp", "root").alias("low_fp"), F.max("root").alias("high"), F.max_by("fp", "root").alias("high_fp"))
     met = looked(rooted, parts, radius).join(ends, ["part", "key"])
-    met = met.select("fp", "root", F.explode(F.array("low", "high")).alias("end")).select("fp", "root", F.col("end.root").alias("to"), F.col("end.fp").alias("other"))
-    return met.where((F.col("root") != F.col("to")) & (distance("fp", "other") <= radius)).select(F.least("root", "to").alias("a"), F.greatest("root", "to").alias("b")).distinct()
+    met = met.where(((F.col("root") != F.col("low")) & (distance("fp", "low_fp") <= radius)) | ((F.col("root") != F.col("high")) & (distance("fp", "high_fp") <= radius)))
+    met = met.select("fp", "root", F.explode(F.array(F.struct(F.col("low").alias("root"), F.col("low_fp").alias("fp")), F.struct(F.col("high").alias("root"), F.col("high_fp").alias("fp")))).alias("end"))
+    return met.select("root", F.col("end.root").alias("to"), distance("fp", "end.fp").alias("bits")).where((F.col("root") != F.col("to")) & (F.col("bits") <= radius))
+
+
+def pairs(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(a, b), distinct: the roots that leaders() links."""
+    return leaders(rooted, parts, radius).select(F.least("root", "to").alias("a"), F.greatest("root", "to").alias("b")).distinct()
+
+
+def few(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(a, b): of the pairs of leaders() three for each root at most: with the smallest, the greatest and the closest."""
+    ends = leaders(rooted, parts, radius).groupBy("root").agg(F.min("to").alias("x"), F.max("to").alias("y"), F.min_by("to", "bits").alias("z"))
+    each = ends.select("root", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("to"))
+    return each.select(F.least("root", "to").alias("a"), F.greatest("root", "to").alias("b"))
 
 
 def links(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
@@ -138,31 +151,33 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root): the components of the distinct fingerprints fps(fp) under links of at most radius bits, root being the smallest."""
     parts = segments(fps.count(), radius)
     rooted = fps.select("fp", F.col("fp").alias("root"))
-    for pairs in (leaders, links):
-        rooted = renamed(rooted, components(pairs(rooted, parts, radius)), "fp")
+    for found in (pairs, links):
+        rooted = renamed(rooted, components(found(rooted, parts, radius)), "fp")
     return rooted
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(a, b), a != b, root being the smallest of its component.
 
-    Large-star and small-star steps (Kiveris and others, 2014) until nothing
-    changes; each is a sum by node and a join, so no neighbourhood is gathered
-    in a task, and each round is written to the shared folder.
+    Large-star and small-star steps (Kiveris and others, 2014) until every edge
+    leads to a root; each is a sum by node and a join, so no neighbourhood is
+    gathered in a task, and each round is written to the shared folder.
     """
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    before = None
-    while True:
+
+    def tangled() -> bool:
+        """Whether some node has two parents, or a parent and a child."""
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1").isEmpty()
+
+    while tangled():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = staged(small.distinct(), "edges", instead_of=edges)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def named(rooted: DataFrame, least: DataFrame, key: str) -> DataFrame:
