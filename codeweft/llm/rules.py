@@ -46,21 +46,14 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, windows).otherwise(F.array().cast("array<bigint>"))
 
 
-def covered(windows: Column) -> Column:
-    """Words under those windows (a column of hashes in order) whose hash is there twice or more."""
-    ranked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # fold over the windows in order of hash: a window counts if the one before or after it has its hash
-    kind = "struct<h:bigint,i:int,twin:boolean,out:array<int>>"
-    start = F.struct(F.lit(None).alias("h"), F.lit(None).alias("i"), F.lit(False).alias("twin"), F.array().alias("out")).cast(kind)
+def repeats(ranked: str) -> Column:
+    """array<int>: in order, the places i of those in a column of structs (h, i), sorted, whose h is there twice or more."""
+    own = F.col(ranked)
 
-    def step(a: Column, x: Column) -> Column:
-        same = F.coalesce(a["h"] == x["h"], F.lit(False))
-        first = F.when(same & ~a["twin"], F.array(a["i"])).otherwise(F.array().cast("array<int>"))
-        own = F.when(same, F.array(x["i"])).otherwise(F.array().cast("array<int>"))
-        out = F.when(same, F.concat(a["out"], first, own)).otherwise(a["out"])
-        return F.struct(x["h"].alias("h"), x["i"].alias("i"), same.alias("twin"), out.alias("out")).cast(kind)
+    def twin(x: Column, k: Column) -> Column:
+        return F.coalesce(x["h"] == F.get(own, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(own, k + 1)["h"], F.lit(False))
 
-    return F.array_sort(F.aggregate(ranked, start, step, lambda a: a["out"]))
+    return F.array_sort(F.transform(F.filter(own, twin), lambda x: x["i"]))
 
 
 def union_length(starts: Column) -> Column:
@@ -103,12 +96,14 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     rest = F.greatest(F.col("word_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
     docs = docs.withColumns({"classes": F.array_append("classes", rest), "_windows": repeated_words(F.col("_hashes"))})
     many = F.size("_windows") > F.size(F.array_distinct("_windows"))
-    common = F.transform("_known", lambda k: F.size(F.filter(F.col("_seen"), lambda w: w == k)).cast("long"))
-    docs = docs.withColumns({"_starts": F.when(many, covered(F.col("_windows"))), "common": common})
-    docs = docs.withColumn("n_repeat_words", F.coalesce(union_length(F.col("_starts")), F.lit(0)).cast("long"))
+    # a column that a lambda uses must be used outside too: else its expression moves into the lambda and is made for each element
+    none = F.transform("_known", lambda k: F.lit(0).cast("long"))
+    common = F.when(F.size("_seen") > 0, F.transform("_known", lambda k: F.size(F.filter(F.col("_seen"), lambda w: w == k)).cast("long"))).otherwise(none)
+    docs = docs.withColumns({"_ranked": F.when(many, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))), "common": common})
+    docs = docs.withColumn("n_repeat_words", F.coalesce(union_length(repeats("_ranked")), F.lit(0)).cast("long"))
     rest = F.greatest(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
     docs = docs.withColumn("common", F.array_append("common", rest))
-    return docs.drop("_words", "_lines", "_windows", "_known", "_seen", "_starts", "_hashes")
+    return docs.drop("_words", "_lines", "_windows", "_known", "_seen", "_ranked", "_hashes")
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common", "reference"]
@@ -169,6 +164,6 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[s
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns for documents."""
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_classes", "js_common"]
+    """The contract's columns for documents; judge() has the distances too."""
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judge(docs.select("doc_id", "text", "lang")).select(*names)
