@@ -60,6 +60,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_secrets that the base patterns decide, which SQL can express."""
+    return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_pii that the base patterns decide, which SQL can express."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
@@ -71,8 +81,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "secrets_base": secrets_base,
+    "pii_base": pii_base,
+}
+
+#: Base patterns as SQL has them; the second is the group that is looked at.
+PII_SQL = {
+    "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", 0, "true"),
+    "ip": ("[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", 0, "list_max(list_transform(string_split(v, '.'), lambda x: x::HUGEINT)) <= 255"),
+    "card": ("[0-9]([\\x20-]?[0-9])+", 0, "length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN reverse(d)[i + 1]::INT WHEN reverse(d)[i + 1] > '4' THEN 2 * reverse(d)[i + 1]::INT - 9 ELSE 2 * reverse(d)[i + 1]::INT END)) % 10 = 0"),
+    "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", 0, "length(d) BETWEEN 8 AND 15"),
+}
+SECRETS_SQL = {
+    "assign": ("(?i:(password|passwd|secret|token|api_?key))[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, "length(v) >= 6"),
+    "access": ("AKIA[A-Z0-9]+", 0, "length(v) >= 20"),
+    "hex": ("[0-9a-f]+", 0, "length(v) >= 24"),
 }
 
+
+def spans_sql(patterns: dict[str, tuple[str, int, str]], order: str) -> str:
+    """Counts and hash of the spans of base patterns: matches v between gaps g, their places the sums of lengths before."""
+    parts = [
+        f"""SELECT doc_id, {k} AS k, '{name}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS s, unnest(list_transform(m, lambda x: length(x))) AS n, unnest(v) AS v
+  FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM d) WHERE len(m) > 0"""
+        for k, (name, (p, group, _)) in enumerate(patterns.items())
+    ]
+    right = " OR ".join(f"(kind = '{name}' AND {test})" for name, (_, _, test) in patterns.items())
+    counts = ", ".join(f"count(kind) FILTER (WHERE kind = '{name}') AS n_{name}" for name in patterns)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), every AS ({" UNION ALL ".join(parts)}),
+kept AS (SELECT * FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM every) WHERE {right})
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY {order}), '')) AS base_sha256
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": """
 WITH w AS (
@@ -127,6 +170,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT coalesce(a > {rules.MOST_CLASSES[0]} + {rules.MOST_CLASSES[1]} / sqrt(word_chars), false) AND NOT coalesce(b > {rules.MOST_WORDS[0]} + {rules.MOST_WORDS[1]} / sqrt(n_words), false) AS kept
 FROM h LEFT JOIN pair USING (doc_id)
 """,
+    "pii_base": spans_sql(PII_SQL, "k, s"),
+    "secrets_base": spans_sql(SECRETS_SQL, "s, k"),
     "op6_substring_dedup": """
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents

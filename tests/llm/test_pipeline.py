@@ -5,8 +5,11 @@ import re
 import struct
 import zlib
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from codeweft.llm import packing, pii, toxicity
+from codeweft.llm import near, packing, pii, toxicity
 from codeweft.llm.labels import fold
 from tests.llm.plain import toxic_score
 
@@ -122,7 +125,8 @@ def test_stages_on_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, long), (5, long), (None, long), (None, None), (4, "another text of the same id, quite unlike the rest of them"), (2**60 + 1, "call +1 (269) 555-3296 now"), (2**60 + 3, "one")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, "x", 1, 2, "b", 3) for i, t in rows], kind)
     benchmark = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(1).collect()]
-    docs = docs.unionByName(spark.createDataFrame([(7, "before it " + benchmark[0] + " after it", "en", "s", 9, 0.5, "x", 1, 2, "b", 3)], kind))
+    leak = "before it " + benchmark[0] + " after it"
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 9, 0.5, "x", 1, 2, "b", 3) for i, t in ((7, leak), (None, leak), (2**60 + 3, "one"), (None, long))], kind))
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
@@ -130,9 +134,23 @@ def test_stages_on_awkward_rows(spark):
         kept[name] = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
     every = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
     assert kept["toxicity"] == every and len(kept["pii"]) == len(every)
-    # blank texts are copies of each other, and rows without an id stay
-    assert [i for i, _ in kept["simhash_near_dedup"]] == [0, 0, 1, 4, 4, 7, 2**60 + 1, 2**60 + 3]
-    assert [i for i, _ in kept["benchmark_decontamination"]] == [i for i, _ in every if i != 7]
+    # blank texts are copies of each other; of rows without an id one of each text stays, and a leak is found without an id
+    assert [i for i, _ in kept["simhash_near_dedup"]] == [0, 0, 0, 1, 4, 4, 7, 2**60 + 1, 2**60 + 3]
+    assert kept["benchmark_decontamination"] == [(i, t) for i, t in every if t != leak]
     assert (2**60 + 1, "call [PHONE] now") in kept["pii"]
     packed = corpus_pipeline.packing_stage(spark, docs, SF).collect()
     assert sorted((r.doc_id or 0) for r in packed if r.piece == 0) == [i for i, _ in every]
+
+
+def test_parity_sketches_never_exceed_the_difference(spark):
+    r = np.random.default_rng(1)
+    rows, want = [], []
+    for n in (1, 2, 31, 33, 60, 100, 500, 700, 1000, 1100):
+        base = np.unique(r.integers(-(2**63), 2**63, n, np.int64))
+        for share in (0.0, 0.05, 0.2, 1.0):
+            other = np.unique(np.concatenate([base[r.random(len(base)) >= share], r.integers(-(2**63), 2**63, int(n * share * 1.2), np.int64)]))
+            rows.append((len(rows), *(np.frombuffer(near.parity(x), np.int64).tolist() for x in (base, other))))
+            want.append(len(np.setxor1d(base, other)))
+    got = spark.createDataFrame(rows, "i long, x array<long>, y array<long>").where("size(x) <= 2 * size(y) AND size(y) <= 2 * size(x)").select("i", near.sketch_distance(F.col("x"), F.col("y")).alias("d")).collect()
+    assert len(got) > 25 and all(g.d <= want[g.i] for g in got) and all(g.d > 0 for g in got if want[g.i] > 9)
+    assert sum(g.d for g in got) > 0.4 * sum(want[g.i] for g in got)

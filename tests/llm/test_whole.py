@@ -15,7 +15,7 @@ from tests.llm.plain import quality_score, toxic_score
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_decontamination", "op5_quality_rules", "op6_substring_dedup", "op9_warc"])
+@pytest.mark.parametrize("name", ["op2_decontamination", "op5_quality_rules", "op6_substring_dedup", "op9_warc", "secrets_base", "pii_base"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
@@ -120,3 +120,25 @@ def test_encoder_falls_back_to_the_tokenizer():
         path = packing.tokenizer_path(name)
         own = packing.Encoder(path)
         assert own.by_words == by_words and list(memoryview(own.encode(text)).cast("I")) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("module,label,name", [(quality, "quality", "held_out"), (toxicity, "toxic", "held_out")])
+def test_scores_of_awkward_rows(spark, module, label, name):
+    """Null ids and texts, repeated rows, clashing columns: one row out for each row in, without an id in no fold."""
+    rows = [(None, "some words"), (None, None), (1, None), (1, None), (2, ""), (3, "word " * 5_000), (2**60 + 1, "a line\nand another")]
+    docs = spark.createDataFrame([(i, t, 0.5, True, 1, 2) for i, t in rows], "doc_id long, text string, score double, held_out boolean, y int, _id int")
+    labels = spark.createDataFrame([(1, None), (None, 1), (2, 1)], f"doc_id long, {label} int")
+    got = module.digest(spark, docs, labels).collect()
+    assert sorted((r.doc_id or 0) for r in got) == sorted((i or 0) for i, _ in rows)
+    assert all((r[name] is None) == (r.doc_id is None) and 0 <= r.score <= 1 for r in got)
+
+
+def test_files_of_hot_fingerprints(spark):
+    """A third of all rows in one text, and a group of near fingerprints: each row once, with the smallest id."""
+    from codeweft.llm import simhash
+
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words)) for k in range(100, 1_300)] + [(2_000 + k, " ".join(words[:k] + ["x"] + words[k:])) for k in range(0, 300, 3)] + [(5_000 + k, f"text {k} of its own " + " ".join(words[k % 250 : k % 250 + 9])) for k in range(2_000)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id < 1_300} == {100}
+    assert sum(r.component_id == 100 for r in got if 2_000 <= r.doc_id < 3_000) > 50
