@@ -35,11 +35,8 @@ def suffix(path: str | Column) -> Column:
 
 def language_of(path: str | Column) -> Column:
     """The language of a path by its suffix, null if it is none of ours."""
-    s = suffix(path)
-    out = F.lit(None).cast("string")
-    for language in dict.fromkeys(schema.LANGUAGES.values()):
-        out = F.when(s.isin([k for k, v in schema.LANGUAGES.items() if v == language]), language).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in schema.LANGUAGES.items() for x in pair])
+    return F.try_element_at(known, suffix(path))
 
 
 def in_skipped_folder(path: str | Column, folders: list[str] | None = None) -> Column:

@@ -76,7 +76,9 @@ def decode(lines: DataFrame, line: str = "line", folders: list[str] | None = Non
     f = F.split(F.trim(F.col(line)), "\t")
     code, one, two = F.trim(F.get(f, F.lit(0))), F.trim(F.get(f, F.lit(1))), F.trim(F.get(f, F.lit(2)))
     rows = lines.select(code.alias("code"), one.alias("one"), two.alias("two"))
-    first, second = is_supported("one", folders), is_supported("two", folders)
+    # columns of their own: what is used in several branches is made once
+    rows = rows.withColumns({"_first": is_supported("one", folders), "_second": is_supported("two", folders)})
+    first, second = F.col("_first"), F.col("_second")
     renamed = F.col("code").startswith("R") & F.col("two").isNotNull()
     status = (
         F.when(F.col("code").isin("A", "M", "D") & first, F.col("code"))
