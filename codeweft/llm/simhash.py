@@ -107,7 +107,8 @@ def looked(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> Data
 def leaders(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
     """(root, to, bits): each fingerprint of rooted(fp, root) with the first and last members of the files it looks up that differ in bits <= radius, of another root."""
     ends = filed(rooted, parts).groupBy("part", "key").agg(F.min("root").alias("low"), F.min_by("fp", "root").alias("low_fp"), F.max("root").alias("high"), F.max_by("fp", "root").alias("high_fp"))
-    met = looked(rooted, parts, radius).join(ends, ["part", "key"])
+    # files and look-ups are many times the rows of rooted, by whose size Spark would choose to broadcast them
+    met = looked(rooted, parts, radius).join(ends.hint("merge"), ["part", "key"])
     met = met.where(((F.col("root") != F.col("low")) & (distance("fp", "low_fp") <= radius)) | ((F.col("root") != F.col("high")) & (distance("fp", "high_fp") <= radius)))
     met = met.select("fp", "root", F.explode(F.array(F.struct(F.col("low").alias("root"), F.col("low_fp").alias("fp")), F.struct(F.col("high").alias("root"), F.col("high_fp").alias("fp")))).alias("end"))
     return met.select("root", F.col("end.root").alias("to"), distance("fp", "end.fp").alias("bits")).where((F.col("root") != F.col("to")) & (F.col("bits") <= radius))
@@ -133,7 +134,7 @@ def links(rooted: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataF
     there = filed(rooted, parts).groupBy("part", "key", F.col("root").alias("b_root")).agg(reach.alias("b_reach"))
     here = looked(rooted, parts, radius).groupBy("part", "key", F.col("root").alias("a_root")).agg(reach.alias("a_reach"))
     close = (F.col("a_root") < F.col("b_root")) & (distance("a_root", "b_root") <= radius + F.col("a_reach") + F.col("b_reach"))
-    met = staged(here.alias("h").join(there.alias("t"), (F.col("h.part") == F.col("t.part")) & (F.col("h.key") == F.col("t.key")) & close).select("h.part", "h.key", "a_root", "a_reach", "b_root", "b_reach"), "classes")
+    met = staged(here.alias("h").join(there.hint("merge").alias("t"), (F.col("h.part") == F.col("t.part")) & (F.col("h.key") == F.col("t.key")) & close).select("h.part", "h.key", "a_root", "a_reach", "b_root", "b_reach"), "classes")
     # two fingerprints alone are linked if they are close at all
     alone = (F.col("a_reach") == 0) & (F.col("b_reach") == 0)
     half = looks.join(met.where(~alone), ["part", "key", "a_root"]).where(distance("a", "b_root") <= radius + F.col("b_reach"))
