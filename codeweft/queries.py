@@ -541,8 +541,7 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a file as one text."""
     g = tg.staged_star(spark, sf_dir)
     ranks = g.of_kind("CALLS").groupBy(F.col("target").alias("node_id")).agg((F.count(F.lit(1)) / 1000.0).alias("score"))
-    text = context.report(traverse.full_impact(g, [SEED], 1, ranks), [SEED], 1)
-    return spark.createDataFrame([(text,)], "report string")
+    return context.reported(traverse.full_impact(g, [SEED], 1, ranks), [SEED], 1)
 
 
 # ---------------------------------------------------------------- Cypher
