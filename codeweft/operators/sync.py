@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from codeweft import schema
 from codeweft.functions import last_segment, short_name
 from codeweft.operators import store as stores
-from codeweft.operators.resolve import bound_sites, call_edges, resolve
+from codeweft.operators.resolve import bound_sites, call_edges
 from codeweft.operators.store import GraphStore
 from codeweft.sources import changes as feed
 from codeweft.sources.parse import exploded, parse_files
@@ -80,7 +80,7 @@ def _store(store: GraphStore, gone_files: DataFrame, parsed: DataFrame, missing:
     progress("resolving_calls", 0, total)
     wanted = bound.join(callers, "caller_qname", "left_semi").select(F.explode(looked_up_by(bound)).alias("short")).distinct()
     defined = after["nodes"].where("kind <> 'External'").withColumn("short", short_name("qualified_name")).join(wanted, "short", "left_semi").drop("short")
-    calls = staged(call_edges(resolve(again, defined, after["imports"])), "calls")
+    calls = staged(call_edges(again, defined, after["imports"]), "calls")
     progress("resolving_calls", total, total)
 
     # calls of these callers go and come; an External that no other edge names any more goes too
