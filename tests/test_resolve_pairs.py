@@ -43,3 +43,25 @@ def test_pairs_come_in_many_tasks_and_edges_are_not_shuffled(spark, monkeypatch)
     assert max(len(p) for p in found.rdd.glom().collect()) <= 700
     plan = resolve.call_edges(*args)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union")
+
+
+def test_resolve_queries_make_no_edges(spark, monkeypatch):
+    from codeweft import queries, testgraph
+
+    def none(*_):
+        raise AssertionError("edges aren't needed")
+
+    monkeypatch.setattr(testgraph, "staged_star", none)
+    assert "target" in queries.QUERIES["resolve_exact"](spark, "/root/testdata/sf0.001").columns
+
+
+def test_only_what_the_asked_rules_need_is_made(spark, monkeypatch):
+    args = made(spark)
+    whole = sorted(map(tuple, resolve.resolve(*args).collect()))
+    steps, staged = [], resolve.staged
+    monkeypatch.setattr(resolve, "staged", lambda df, name: steps.append(name) or staged(df, name))
+    for rule in (resolve.EXACT, resolve.IMPORTED):
+        assert sorted(map(tuple, resolve.resolve(*args, (rule,)).collect())) == [r for r in whole if r[3] == rule]
+    steps.clear()
+    resolve.resolve(*args, (resolve.IMPORT_SCOPE, resolve.IMPORT_DOT, resolve.IMPORTED))
+    assert "names" not in steps and "sizes" in steps
