@@ -65,3 +65,52 @@ def test_only_what_the_asked_rules_need_is_made(spark, monkeypatch):
     steps.clear()
     resolve.resolve(*args, (resolve.IMPORT_SCOPE, resolve.IMPORT_DOT, resolve.IMPORTED))
     assert "names" not in steps and "sizes" in steps
+
+
+@pytest.mark.parametrize("row", [1, 7, 1_000])
+def test_a_site_meets_arrays_of_definitions(spark, monkeypatch, row):
+    args = made(spark)
+    monkeypatch.setattr(resolve, "TARGETS_A_ROW", row)
+    _, bound, imported = resolve.tried(*args)
+    met = [(r.caller_qname, r.raw, r.folder, r.targets) for r in resolve.paired(bound, imported).collect()]
+    want = sorted(map(tuple, bound.join(imported, ["raw", "folder"]).select("caller_qname", "raw", "folder", "target").collect()))
+    assert sorted((*m[:3], t) for m in met for t in m[3]) == want
+    assert len(met) < len(want)
+    plan = resolve.resolve(*args)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Union")
+
+
+def test_only_definitions_with_a_wanted_name_are_ranked(spark, monkeypatch):
+    args, counts, staged = made(spark), {}, resolve.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(resolve, "staged", counted)
+    resolve.resolve(*args)
+    assert counts["definitions"] == 71 and counts["names"] == 1  # h, not c
+
+
+def test_resolve_queries_write_no_nodes(spark, monkeypatch):
+    from codeweft import queries, testgraph
+
+    def none(*_):
+        raise AssertionError("nodes needn't be written")
+
+    monkeypatch.setattr(testgraph, "_once", none)
+    assert "target" in queries.QUERIES["resolve_all"](spark, "/root/testdata/sf0.001").columns
+
+
+def test_modules_meet_definitions_once_per_method(spark, monkeypatch):
+    """Scope goes before dot, for every site of the module and method."""
+    names = ["m::f", "m.f", "m.g", "x.py::c"]
+    g = graph(spark, [("Function", "n", n, 1, 1) for n in names], [])
+    calls = [(f"x.py::c{k}", f"a.{m}", 1, "x.py") for k in range(9) for m in "fgh"]
+    args = spark.createDataFrame(calls, schema.CALL_SITE), g.nodes, spark.createDataFrame([("x.py", "a", "m")], schema.IMPORT)
+    found, staged = {}, resolve.staged
+    monkeypatch.setattr(resolve, "staged", lambda df, name: found.setdefault(name, staged(df, name)))
+    rows = {(r.caller_qname, r.raw, r.rule, r.target) for r in resolve.resolve(*args, (resolve.IMPORT_SCOPE, resolve.IMPORT_DOT)).collect()}
+    assert rows == {(f"x.py::c{k}", *way) for k in range(9) for way in (("a.f", 2, "m::f"), ("a.g", 3, "m.g"))}
+    assert found["through"].count() == 2
