@@ -114,3 +114,11 @@ def test_modules_meet_definitions_once_per_method(spark, monkeypatch):
     rows = {(r.caller_qname, r.raw, r.rule, r.target) for r in resolve.resolve(*args, (resolve.IMPORT_SCOPE, resolve.IMPORT_DOT)).collect()}
     assert rows == {(f"x.py::c{k}", *way) for k in range(9) for way in (("a.f", 2, "m::f"), ("a.g", 3, "m.g"))}
     assert found["through"].count() == 2
+
+
+def test_call_sites_are_written_between_shuffles(spark, monkeypatch):
+    steps, staged = [], resolve.staged
+    monkeypatch.setattr(resolve, "staged", lambda df, name: steps.append(name) or staged(df, name))
+    rows = resolve.call_edges(*made(spark))
+    assert [s for s in steps if s in ("prepared", "bound", "sites", "other")] == ["prepared", "bound", "sites", "other"]
+    assert rows.count() == rows.distinct().count() > 0
